@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .language_id import language_query
+from .packing import packing_query
 from .token_store import token_store_query
+from .toxicity import toxicity_query
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -17,8 +20,23 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_query(spark, table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_query(spark, table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op4_packing": op4_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
