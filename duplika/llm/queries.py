@@ -7,23 +7,35 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import byte_bpe
 from .common import table
+from .exact_dedup import dedup_query
 from .language_id import language_query
+from .licenses import scan, scan_sql
 from .packing import packing_query
 from .token_store import token_store_query
 from .toxicity import toxicity_query
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store_query(spark, table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_query(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_query(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,11 +44,26 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_exact_dedup": op2_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP2_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": _OP2_SQL,
+    "op9_license_scan": scan_sql(),
+}

@@ -7,6 +7,7 @@ white-space separated words in order. Each distinct word goes to the library onc
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -14,11 +15,32 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept by a worker's memo; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 450_000
+#: Letter runs kept in each of two generations; the older one goes when the younger is full.
+MEMO_RUNS = 150_000
+
+#: Words of these characters alone are the same after NFC, and lower-case one to one.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u0137\u0139-\u0148\u014a-\u017e]+")
+#: The tokenizer file's own split, for such words in lower case.
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w]|_)+")
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    place = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return [place[b] for b in range(256)]
+
+
 
 
 class WordEncoder:
-    """Encodes Arrow string columns with a ``tokenizers`` file."""
+    """Encodes Arrow string columns with a ``tokenizers`` file.
+
+    A word new to the memo is cut into runs as the file's split rule does, and each run new to the
+    worker goes to the library's merge model; words beyond plain Latin letters go to the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -26,6 +48,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -35,20 +61,37 @@ class WordEncoder:
         self.ids = np.zeros(4096, np.int32)
         self.used = 0
 
+    def _run(self, run: str) -> tuple[int, ...]:
+        ids = self.old.get(run)
+        if ids is None:
+            shown = run if run.isascii() else "".join([self.letters[b] for b in run.encode()])
+            ids = tuple([t.id for t in self.model.tokenize(shown)])
+        if len(self.young) >= MEMO_RUNS:
+            self.old, self.young = self.young, {}
+        self.young[run] = ids
+        return ids
+
     def _learn(self, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.int32, int(sizes.sum()))
+        flat: list[int] = []
+        sizes = np.empty(len(words), np.int64)
+        for i, word in enumerate(words):
+            before = len(flat)
+            if _PLAIN.fullmatch(word):
+                for run in _RUNS.findall(word.lower()):
+                    flat += self.young.get(run) or self._run(run)
+            else:
+                flat += self.tokenizer.encode(word, add_special_tokens=False).ids
+            sizes[i] = len(flat) - before
         have, need = len(self.codes), len(self.codes) + len(words)
         if need > self.begin.size:
             self.begin = np.resize(self.begin, max(need, 2 * self.begin.size))
             self.size = np.resize(self.size, self.begin.size)
-        if self.used + flat.size > self.ids.size:
-            self.ids = np.resize(self.ids, max(self.used + flat.size, 2 * self.ids.size))
+        if self.used + len(flat) > self.ids.size:
+            self.ids = np.resize(self.ids, max(self.used + len(flat), 2 * self.ids.size))
         self.begin[have:need] = self.used + np.cumsum(sizes) - sizes
         self.size[have:need] = sizes
-        self.ids[self.used : self.used + flat.size] = flat
-        self.used += flat.size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
         self.codes.update(zip(words, range(have, need), strict=True))
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,8 @@
 
 A text's features are the presence of its hashed words and word beginnings (ASCII lower-cased). The
 machine scores ``bias + sum w_i + sum <v_i, v_j>`` over pairs of present terms, so that a pair such
-as an insult beside the mention of a group can weigh more, or less, than its parts do.
+as an insult beside the mention of a group can weigh more, or less, than its parts do. The raw score
+is turned into a probability by a logistic fitted on the training rows.
 
 Cases: null counts as empty, and an empty text gets the score of the bias alone; repeated rows are
 scored apiece; with no training row, or one class only, the score is the smoothed share of toxic rows;
@@ -53,15 +54,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists(ids, offsets, pa.int32())], ["toxic", "terms"])
 
 
-def fit(features: list[np.ndarray], label: np.ndarray, rank: int = 8, min_rows: int = 5, epochs: int = 6, seed: int = 3) -> dict:
-    """Fit the machine by Adam on minibatches; terms in fewer than ``min_rows`` rows have no weight."""
+def fit(features: list[np.ndarray], label: np.ndarray, rank: int = 8, min_rows: int = 3, min_z: float = 3.0, epochs: int = 8, rate: float = 0.02, pair_rate: float = 5e-4, decay: float = 1e-2, pair_decay: float = 0.1, seed: int = 3) -> dict:
+    """Fit the machine by Adam on minibatches; terms in fewer than ``min_rows`` rows, or as
+    frequent in either class (``min_z`` standard errors), have no weight."""
     share = (label.sum() + 1) / (label.size + 2)
     bias = float(np.log(share / (1 - share)))
-    model = {"bias": bias, "kept": np.zeros(0, np.int32), "w": np.zeros(1, np.float32), "v": np.zeros((1, rank), np.float32)}
+    model = {"bias": bias, "kept": np.zeros(0, np.int32), "w": np.zeros(1, np.float32), "v": np.zeros((1, rank), np.float32), "slope": 1.0, "shift": 0.0}
     if not label.size or label.min() == label.max():
         return model
     flat = np.concatenate(features)
-    kept = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= min_rows).astype(np.int32)
+    seen = np.bincount(flat, minlength=1 << BITS)
+    toxic = np.bincount(flat, np.repeat(label, [f.size for f in features]), minlength=1 << BITS)
+    n1, n0 = label.sum(), label.size - label.sum()
+    spread = seen / label.size * (1 - seen / label.size) * (1 / n1 + 1 / n0)
+    z = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(np.maximum(spread, 1e-12))
+    kept = np.flatnonzero((seen >= min_rows) & (np.abs(z) >= min_z)).astype(np.int32)
+    if not kept.size:
+        return model
     index = np.full(1 << BITS, -1, np.int32)
     index[kept] = np.arange(kept.size, dtype=np.int32)
     rows = []
@@ -73,7 +82,7 @@ def fit(features: list[np.ndarray], label: np.ndarray, rank: int = 8, min_rows:
     w, v = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, rank)).astype(np.float32)
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
     weight = np.where(label == 1, min(10.0, (1 - share) / share) ** 0.5, 1.0)
-    step, t, rate, decay = 256, 0, 0.02, 1e-4
+    step, t = 256, 0
     for _ in range(epochs):
         order = rng.permutation(label.size)
         for a in range(0, order.size, step):
@@ -82,7 +91,7 @@ def fit(features: list[np.ndarray], label: np.ndarray, rank: int = 8, min_rows:
             ids = np.concatenate([rows[i] for i in pick]) if size.sum() else np.zeros(0, np.int32)
             own = np.repeat(np.arange(pick.size), size)
             score, total = _score(bias, w, v, ids, own, pick.size)
-            pull = ((1 / (1 + np.exp(-score)) - label[pick]) * weight[pick] / pick.size).astype(np.float32)
+            pull = ((1 / (1 + np.exp(-np.clip(score, -500, 500))) - label[pick]) * weight[pick] / pick.size).astype(np.float32)
             bias -= rate * float(pull.sum())
             t += 1
             used, at = np.unique(ids, return_inverse=True)
@@ -92,12 +101,29 @@ def fit(features: list[np.ndarray], label: np.ndarray, rank: int = 8, min_rows:
             gv = np.empty((used.size, rank), np.float32)
             for k in range(rank):
                 gv[:, k] = np.bincount(at, pull[own] * (total[own, k] - v[ids, k]), used.size)
-            gv += decay * v[used]
-            for p, g, m, s in ((w, gw, state[0], state[1]), (v, gv, state[2], state[3])):
+            gv += pair_decay * v[used]
+            for p, g, m, s, pace in ((w, gw, state[0], state[1], rate), (v, gv, state[2], state[3], pair_rate)):
                 m[used] = 0.9 * m[used] + 0.1 * g
                 s[used] = 0.99 * s[used] + 0.01 * g * g
-                p[used] -= rate * m[used] / (1 - 0.9 ** min(t, 500)) / (np.sqrt(s[used] / (1 - 0.99 ** min(t, 5000))) + 1e-6)
-    return {"bias": bias, "kept": kept, "w": w, "v": v}
+                p[used] -= pace * m[used] / (1 - 0.9 ** min(t, 500)) / (np.sqrt(s[used] / (1 - 0.99 ** min(t, 5000))) + 1e-6)
+    ids = np.concatenate(rows)
+    raw, _ = _score(bias, w, v, ids, np.repeat(np.arange(len(rows)), [r.size for r in rows]), len(rows))
+    a, b = _calibrate(raw, label)
+    return {"bias": bias, "kept": kept, "w": w, "v": v, "slope": a, "shift": b}
+
+
+def _calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Platt's slope and shift, by Newton steps on smoothed targets."""
+    n1, n0 = int(label.sum()), int(label.size - label.sum())
+    target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.c_[raw, np.ones_like(raw)]
+    at = np.array([1.0, 0.0])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -50, 50)))
+        pull = x.T @ (p - target)
+        bend = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
+        at = at - np.clip(np.linalg.solve(bend, pull), -1, 1)
+    return float(max(at[0], 0.1)), float(at[1])
 
 
 def _score(bias: float, w: np.ndarray, v: np.ndarray, ids: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +166,7 @@ def _judge(held, threshold: float):
             at = index[0][ids]
             own = np.repeat(np.arange(batch.num_rows), np.diff(offsets))[at >= 0]
             raw, _ = _score(model["bias"], model["w"], model["v"], at[at >= 0], own, batch.num_rows)
-            score = 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
+            score = 1 / (1 + np.exp(-np.clip(model["slope"] * raw + model["shift"], -500, 500)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))],
                 SCORED.names,
