@@ -72,7 +72,7 @@ def id_class(col: str, modulus: int) -> Column:
 _TYPES = {
     "long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(),
     "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<long>": T.ArrayType(T.LongType()),
-    "array<int>": T.ArrayType(T.IntegerType()),
+    "array<int>": T.ArrayType(T.IntegerType()), "array<double>": T.ArrayType(T.DoubleType()),
 }
 
 
