@@ -205,3 +205,11 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     total = np.zeros(words.size + 1, U64)
     np.cumsum(words * up, out=total[1:])
     return mix((total[k:] - total[:-k]) * down[:n] + U64(k))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages that staged tables have replaced."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
