@@ -25,6 +25,7 @@ _STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -108,7 +109,7 @@ def dedup_groups(docs: DataFrame, digest=sha256_text, folder: str | None = None)
     )
     # Hits: the bytes at both locators. Only texts of digests seen more than once are moved.
     again = state.where("n > 1")
-    texts = located.withColumn("digest", digest(F.col("text"))).join(again.select("digest", "keeper"), "digest")
+    texts = stage(located.withColumn("digest", digest(F.col("text"))).join(again.select("digest", "keeper"), "digest"), folder, "hits")
     is_keeper = (F.col("place") == F.col("keeper.place")) & (F.col("file") == F.col("keeper.file"))
     keepers = texts.where(is_keeper).select("digest", F.col("text").alias("keep_text"))
     wrong = stage(
