@@ -13,6 +13,7 @@ from .common import table
 from .exact_dedup import dedup_query
 from .language_id import language_query
 from .licenses import scan, scan_sql
+from .ngram_join import ngram_join_query
 from .packing import packing_query
 from .substring_dedup import substring_query
 from .token_store import token_store_query
@@ -30,6 +31,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_query(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join_query(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_query(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -61,6 +66,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_packing": op4_packing,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
