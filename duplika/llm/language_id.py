@@ -141,3 +141,23 @@ def language_query(docs: DataFrame) -> DataFrame:
     held_out = id_class("doc_id", 4) == 2
     profiles = train_profiles(docs.where(~held_out))
     return identify(docs, profiles, held_out)
+
+
+def keep_known(docs: DataFrame, profiles: dict, min_score: float = 0.3, sharpness: float = 20.0) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose text has a letter and a language.
+
+    Rejected are texts that are ``und`` and those whose score is below ``min_score``, next to no
+    preference among four languages; with no learned language every row with a letter stays.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1 << 19):
+            vectors, lettered = text_vectors(batch.column("text").to_pylist(), held.value["dims"], held.value["seed"])
+            if held.value["langs"]:
+                cosine = _unit(vectors) @ held.value["vectors"].T
+                share = 1 / np.exp(sharpness * (cosine - cosine.max(axis=1, keepdims=True))).sum(axis=1)
+                lettered = lettered & (share >= min_score)
+            yield batch.filter(pa.array(lettered))
+
+    return docs.mapInArrow(run, docs.schema)
