@@ -1,0 +1,167 @@
+import itertools
+import random
+
+import numpy as np
+
+from duplika.cli import main, parser
+from duplika.operators import evaluate, kernels
+from duplika.plans.repeats import Settings, align_pair, core_elements, run
+from duplika.sources import fasta, tables
+from duplika.staging import workdir
+
+
+def naive_score(x, y):
+    """Affine alignment score by the textbook recurrences."""
+    low = -(10**9)
+    m = [[low] * (len(y) + 1) for _ in range(len(x) + 1)]
+    i_ = [[low] * (len(y) + 1) for _ in range(len(x) + 1)]
+    d_ = [[low] * (len(y) + 1) for _ in range(len(x) + 1)]
+    m[0][0] = 0
+    for i in range(len(x) + 1):
+        for j in range(len(y) + 1):
+            if i and j:
+                m[i][j] = max(m[i - 1][j - 1], i_[i - 1][j - 1], d_[i - 1][j - 1]) + (5 if x[i - 1] == y[j - 1] else -4)
+            if i:
+                i_[i][j] = max(max(m[i - 1][j], d_[i - 1][j]) - 41, i_[i - 1][j] - 1)
+            if j:
+                d_[i][j] = max(max(m[i][j - 1], i_[i][j - 1]) - 41, d_[i][j - 1] - 1)
+    return max(m[-1][-1], i_[-1][-1], d_[-1][-1])
+
+
+def test_alignment():
+    rng = random.Random(1)
+    for _ in range(40):
+        x = evaluate.random_sequence(rng.randint(0, 40), rng)
+        y = evaluate.mutate(x, 0.1, 0.3, rng, 12)
+        cigar = kernels.align(x.encode(), y.encode())
+        assert kernels.spans(cigar) == (len(x), len(y))
+        assert kernels.cigar_score(cigar) == naive_score(x, y)
+
+
+def test_trim_and_gaps():
+    assert kernels.best_outward([(2, "="), (3, "X"), (2, "=")]) == [(2, "=")]
+    assert kernels.best_outward([(5, "="), (3, "X"), (4, "=")]) == [(5, "="), (3, "X"), (4, "=")]
+    assert kernels.best_outward([(2, "X"), (9, "=")]) == [(2, "X"), (9, "=")]
+    assert kernels.best_outward([(3, "X")]) == []
+    a = b"ACGTACGTAC" * 150
+    cigar = kernels.fill_gap(a, a[:400])
+    assert kernels.spans(cigar) == (1500, 400) and (1100, "I") in cigar
+    assert kernels.fill_gap(b"", b"AC") == [(2, "D")] and kernels.fill_gap(b"", b"") == []
+
+
+def test_chaining():
+    x, y, n = np.array([0, 30, 500, 60]), np.array([100, 130, 700, 158]), np.array([25, 25, 95, 40])
+    assert kernels.chain_anchors(x, y, n) == [[0, 1, 3], [2]] or kernels.chain_anchors(x, y, n) == [[2], [0, 1, 3]]
+    assert kernels.chain_anchors(x[:0], y[:0], n[:0]) == []
+
+
+def test_density_chains():
+    x = np.arange(0, 2000, 20)
+    assert kernels.density_chains(x, x + 5000, np.arange(x.size), 0.05) == [(0, 1980, 5000, 6980)]
+    far = np.r_[x, x + 9000]  # a break longer than the gap
+    got = sorted(kernels.density_chains(far, np.arange(far.size) * 20, np.arange(far.size), 0.05))
+    assert [(a, b) for a, b, *_ in got] == [(0, 1980), (9000, 10980)]
+
+
+def test_pair_alignment_finds_a_mutated_copy():
+    rng = random.Random(3)
+    a = evaluate.random_sequence(2500, rng)
+    b = evaluate.mutate(a, 0.05, 0.05, rng)
+    x = evaluate.random_sequence(800, rng) + a + evaluate.random_sequence(900, rng)
+    y = evaluate.random_sequence(300, rng) + b + evaluate.random_sequence(500, rng)
+    found = align_pair(x.encode(), y.encode(), False, False)
+    assert found
+    xs, xe, ys, ye, cigar = found[0]
+    assert kernels.spans(cigar) == (xe - xs, ye - ys)
+    assert min(xe, 3300) - max(xs, 800) > 0.9 * 2500 and min(ye, 300 + len(b)) - max(ys, 300) > 0.9 * len(b)
+
+
+def test_elementary_sets():
+    rng = random.Random(4)
+    unit = evaluate.random_sequence(400, rng)
+    seqs = [evaluate.random_sequence(150, rng) + unit + evaluate.random_sequence(150, rng) for _ in range(3)]
+    sets = kernels.elementary_sets([s.encode() for s in seqs], share=0)
+    best = max(sets, key=len)
+    # The scanned sequence's own thread runs on from its start; the others are the unit.
+    assert len(best) == 3 and sum(abs(b - 150) < 15 and abs(e - 540) < 20 for _, b, e, _ in best) >= 2
+    assert kernels.elementary_sets([evaluate.random_sequence(900, rng).encode()]) == []
+
+
+def test_cover(spark):
+    assert kernels.greedy_cover({1: {1, 2, 3}, 2: {3, 4}, 3: {4}}) == [1, 2]
+    edges = [(1, 1), (1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (9, 70)]
+    got = core_elements(spark.createDataFrame(edges, "elem long, sd long"), workdir(spark))
+    assert sorted(r.elem for r in got.collect()) == [1, 2]
+    rng = random.Random(5)
+    for _ in range(30):
+        sets = {e: set(rng.sample(range(8), rng.randint(1, 5))) for e in range(6)}
+        chosen = kernels.greedy_cover(sets)
+        whole = set().union(*sets.values())
+        assert set().union(*(sets[e] for e in chosen)) == whole
+        least = next(k for k in range(1, 7) if any(set().union(*(sets[e] for e in c)) == whole for c in itertools.combinations(sets, k)))
+        assert len(chosen) <= least + 1
+
+
+def test_whole_workflow(spark, tmp_path):
+    rng = random.Random(7)
+    seq, truth = evaluate.simulate_duplications(6, 0.10, rng, spacer=7000)
+    masked = "".join(c.lower() if 12_000 <= i < 12_300 else c for i, c in enumerate(seq))
+    file = tmp_path / "g.fa"
+    file.write_text(">chr1 x\n" + "\n".join(masked[i : i + 80] for i in range(0, len(masked), 80)) + "\n>chr2_alt\nACGT\n")
+    seqs = fasta.read_fasta(spark, str(file))
+    assert sorted((r.species, r.chrom, r.len) for r in fasta.contig_index(seqs).collect()) == [("g", "chr1", len(seq)), ("g", "chr2_alt", 4)]
+    out = run(seqs)
+    rows = out["pairs"].collect()
+    covered = 0
+    for a, b, c, d in truth:
+        best = max((min(b, r.end1) - max(a, r.start1) + min(d, r.end2) - max(c, r.start2) for r in rows), default=0)
+        covered += best > 0.9 * (b - a + d - c)
+    assert covered >= 5
+    assert all(r.score <= 25 for r in rows)
+    elements = out["elements"].collect()
+    assert elements and all(0 <= e.start < e.end <= len(seq) for e in elements)
+    tables.write_pairs(out["pairs"], f"{tmp_path}/pairs")
+    again = tables.read_pairs(spark, f"{tmp_path}/pairs")
+    assert again.count() == len(rows) and tables.check_pairs(again).count() == len(rows)
+
+
+def test_two_genomes(spark):
+    rng = random.Random(8)
+    unit = evaluate.random_sequence(2500, rng)
+    other = [evaluate.random_sequence(9000, rng) for _ in range(5)]
+    g1 = other[0] + unit + other[1]
+    g2 = other[2] + evaluate.mutate(unit, 0.03, 0.02, rng) + other[3] + evaluate.mutate(unit, 0.03, 0.02, rng) + other[4]
+    df = spark.createDataFrame([("a", "chr1", g1), ("b", "chr1", g2)], "species string, chrom string, seq string")
+    out = run(df, Settings(hard=True, decomposition=False))["pairs"]
+    kinds = {r.reference for r in out.collect()}
+    assert kinds == {"b:b", "a:b"}
+
+
+def test_formats(spark, tmp_path):
+    (tmp_path / "wgac").write_text("chrom\tstart\n" + "\t".join(["chr1", "10", "20", "n", "0", "_", "chr2", "30", "45"]) + "\n" + "\t".join(["chrM", "1", "2", "n", "0", "+", "chr2", "3", "4"]) + "\n")
+    (r,) = tables.read_foreign(spark, str(tmp_path / "wgac"), "wgac", main_contigs=True).collect()
+    assert (r.chr1, r.start1, r.end1, r.chr2, r.start2, r.end2, r.strand1, r.strand2) == ("chr1", 10, 20, "chr2", 30, 45, "+", "-")
+    h = spark.range(1).select(fasta.parse_cluster_header(__import__("pyspark.sql.functions", fromlist=["lit"]).lit("hg#chr#1_#5#90")).alias("h")).first().h
+    assert (h.species, h.chrom, h.strand, h.start, h.end) == ("hg", "chr#1", "_", 5, 90)
+
+
+def test_measures(spark):
+    df = spark.createDataFrame([("a", i) for i in "abc"] + [("b", i) for i in "bcde"], "g string, item string")
+    (r,) = evaluate.set_distance(df, "g", "item").collect()
+    assert (r.i, r.j, r.distance) == ("a", "b", 0.8)
+    (d,) = evaluate.divergence(spark.createDataFrame([(1, "ACGTACGTAC", "ACGTACGTAT")], "id long, a string, b string")).collect()
+    assert (d.matches, d.transitions, d.transversions) == (9, 1, 0) and abs(d.jukes_cantor - 0.10733) < 1e-5
+    cores = spark.createDataFrame([(1, 1, "c", 0, 100), (1, 2, "c", 200, 300), (2, 3, "c", 400, 500)], "core_id long, copy_id long, chrom string, start long, end long")
+    elements = spark.createDataFrame([("c", 0, 95, "CORE"), ("c", 200, 250, None)], "chrom string, start long, end long, core string")
+    pairs = spark.createDataFrame([("c", 0, 150), ("c", 380, 600)], "chrom string, start long, end long")
+    assert tuple(evaluate.core_recall(cores, elements, pairs).first()) == (1, 3, 1, 0, 2, 1, 2)
+
+
+def test_command_line(capsys):
+    assert main(["test"]) == 0 and "duplika" in capsys.readouterr().out
+    args = parser().parse_args(["g.fa", "-o", "out", "--max-error", "20"])
+    assert args.max_error == 20 and args.kmer_size == 14
+    try:
+        parser().parse_args(["g.fa", "-o", "out", "--max-error", "100"])
+    except SystemExit as e:
+        assert e.code == 2
