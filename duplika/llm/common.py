@@ -1,8 +1,7 @@
-"""Shared pieces: staging in the folder all executors see, and byte-level numpy text kernels."""
+"""Shared pieces: document columns, Arrow batches and byte-level numpy text kernels."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,44 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import drop, exists, stage, tidy, workdir  # noqa: F401
+
 U64 = np.uint64
 #: Text bytes handled at once by the numpy kernels; a longer document is handled alone.
 CHUNK_BYTES = 2 << 20
 
-# --- staging -----------------------------------------------------------------
-
-
-def workdir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, the folder that all executors share.
-
-    Where the setting is absent and Spark runs locally (tests), a temporary folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="duplika-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write as Parquet and read back: cuts the lineage and survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a staged table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+# --- tables ------------------------------------------------------------------
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -205,11 +173,3 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
     total = np.zeros(words.size + 1, U64)
     np.cumsum(words * up, out=total[1:])
     return mix((total[k:] - total[:-k]) * down[:n] + U64(k))
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished stages that staged tables have replaced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import drop, stage, workdir
+from .common import drop, exists, stage, workdir
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE_CONF = {
@@ -81,6 +81,8 @@ class DedupStream:
 
     def state(self) -> DataFrame:
         """``digest, n, keeper`` of every digest seen so far."""
+        if not exists(self.spark, f"{self.checkpoint}/commits/0"):  # no row has arrived
+            return self.spark.read.parquet(self.log).select("digest", "n", "keeper")
         with _Conf(self.spark, _STATE_CONF):
             held = self.spark.read.format("statestore").load(self.checkpoint)
             return held.select("key.digest", F.col("value.sum").alias("n"), F.col("value.max").alias("keeper"))
@@ -133,13 +135,14 @@ def dedup_groups(docs: DataFrame, digest=sha256_text, folder: str | None = None)
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns."""
-    folder = workdir(docs.sparkSession)
-    groups = dedup_groups(docs, folder=folder).where("kept").select(F.col("file").alias("_file"), F.col("place").alias("_place"))
-    names = docs.columns
+    folder, names = workdir(docs.sparkSession), docs.columns
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")]
     try:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-    except AnalysisException as e:
-        raise ValueError("dedup keeps rows of a table read from files; write it first") from e
+        docs.select(*place)
+    except AnalysisException:
+        docs = stage(docs, folder, "rows")
+    groups = dedup_groups(docs, folder=folder).where("kept").select(F.col("file").alias("_file"), F.col("place").alias("_place"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *place)
     return rows.join(groups, ["_file", "_place"], "left_semi").select("_row.*")
 
 

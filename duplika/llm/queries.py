@@ -81,7 +81,28 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
+_OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i + 1:i + 5], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(greatest(len(ws) - 4, (len(ws) > 0)::INT))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN sym e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(b) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN reach ON a = d.doc_id GROUP BY 1, 2"""
+
+_OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM w)),
+f AS (SELECT h, min(doc_id) AS first FROM v GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT v.doc_id, i, unnest(range(50)) AS j FROM v JOIN f USING (h) WHERE first < doc_id)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": _OP2_SQL,
+    "op3_ngram_join": _OP3_SQL,
+    "op6_substring_dedup": _OP6_SQL,
     "op9_license_scan": scan_sql(),
 }
