@@ -84,6 +84,18 @@ def venn(segs: DataFrame, tags: Sequence[str]) -> DataFrame:
     return segs.groupBy(combo.alias("combo")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
+def exclusive(segs: DataFrame, tags: Sequence[str], tag: str) -> DataFrame:
+    """Pieces that intervals of ``tag`` alone cover."""
+    others = sum((F.col(f"n_{t}") for t in tags if t != tag), F.lit(0))
+    return segs.where((F.col(f"n_{tag}") > 0) & (others == 0))
+
+
+def gap_to_next(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """Each interval with the distance to the next one of its key; negative where they overlap, null for the last."""
+    line = Window.partitionBy(*keys).orderBy(start, end)
+    return df.withColumn("gap", F.lead(start).over(line) - F.col(end))
+
+
 def last_before(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
     """As-of lookup: for each point the ``value`` of its key's last event at or before it.
 

@@ -264,6 +264,37 @@ def venn(spark, sf_dir):
     return intervals.venn(_segs(spark, sf_dir), _TAGS)
 
 
+@query(f"WITH {_SEG} SELECT user_id, \"start\", \"end\" FROM seg WHERE n_error > 0 AND n_click = 0 AND n_purchase = 0")
+def exclusive_pieces(spark, sf_dir):
+    return intervals.exclusive(_segs(spark, sf_dir), _TAGS, "error").select("user_id", "start", "end")
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id, floor(epoch(ts))::BIGINT AS s FROM events)
+SELECT user_id, s AS "start", lead(s) OVER (PARTITION BY user_id ORDER BY s) - (s + 3600) AS gap FROM e""")
+def lead_gap(spark, sf_dir):
+    spans = _spans(spark, sf_dir).select("user_id", "start", "end").distinct()
+    return intervals.gap_to_next(spans, ["user_id"]).select("user_id", "start", "gap")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS k, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e, l_returnflag = 'R' AS core FROM lineitem),
+b AS (SELECT DISTINCT k, unnest(range(s, e)) AS b FROM f),
+c AS (SELECT o_custkey, o_orderkey, count(b) AS covered FROM orders LEFT JOIN b ON k = o_orderkey AND b >= 10 AND b < 50 GROUP BY 1, 2),
+x AS (SELECT DISTINCT o_custkey FROM orders JOIN f ON k = o_orderkey AND core AND s < 50 AND e > 10),
+y AS (SELECT DISTINCT o_custkey FROM orders JOIN f ON k = o_orderkey AND s <= 10 AND e >= 50),
+g AS (SELECT o_custkey, sum((covered >= 36)::INT) AS good, count(*) AS copies, sum(covered) AS covered FROM c GROUP BY 1)
+SELECT sum(good)::BIGINT AS covered_copies, sum(copies)::BIGINT AS all_copies, sum((good > 0)::INT)::BIGINT AS cores_hit, sum((covered >= 0.9 * 40 * copies)::INT)::BIGINT AS cores_covered, count(*) AS cores,
+  (SELECT count(*) FROM x) AS cores_flagged, (SELECT count(*) FROM y) AS cores_in_pairs FROM g""")
+def core_recall(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string").alias("chrom")
+    cores = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("core_id"), F.col("o_orderkey").alias("copy_id"), key, F.lit(10).cast("long").alias("start"), F.lit(50).cast("long").alias("end"))
+    s = (F.col("l_linenumber") * 10).cast("long")
+    found = _t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("chrom"), s.alias("start"), (s + F.col("l_quantity").cast("long")).alias("end"), F.when(F.col("l_returnflag") == "R", "CORE").alias("core")
+    )
+    out = evaluate.core_recall(cores, found, found.drop("core"))
+    return out.select([F.col(c).cast("long").alias(c) for c in out.columns])
+
+
 @query()
 def box_merge(spark, sf_dir):
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
