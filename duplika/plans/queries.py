@@ -270,10 +270,10 @@ def exclusive_pieces(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT DISTINCT user_id, floor(epoch(ts))::BIGINT AS s FROM events)
-SELECT user_id, s AS "start", lead(s) OVER (PARTITION BY user_id ORDER BY s) - (s + 3600) AS gap FROM e""")
+SELECT * FROM (SELECT user_id, s AS "start", lead(s) OVER (PARTITION BY user_id ORDER BY s) - (s + 3600) AS gap FROM e) WHERE gap IS NOT NULL""")
 def lead_gap(spark, sf_dir):
     spans = _spans(spark, sf_dir).select("user_id", "start", "end").distinct()
-    return intervals.gap_to_next(spans, ["user_id"]).select("user_id", "start", "gap")
+    return intervals.gap_to_next(spans, ["user_id"]).select("user_id", "start", "gap").where("gap is not null")
 
 
 @query("""WITH f AS (SELECT l_orderkey AS k, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e, l_returnflag = 'R' AS core FROM lineitem),
