@@ -1,0 +1,63 @@
+"""The pipeline stage by stage, each against brute force on its own input."""
+
+import random
+
+import corpus_pipeline
+from duplika.llm.common import stage, workdir
+
+from .test_operators import removed, shingle_set
+
+
+def documents(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghiou", k=rng.randint(2, 7))) for _ in range(300)]
+    make = lambda n: " ".join(rng.choices(words, k=n))
+    passage, base = make(60), make(100).split()
+    texts = [make(40) for _ in range(12)] + [f"{make(15)} {passage} {make(15)}" for _ in range(4)]
+    texts += [texts[0], texts[3], None, "", "12 34 !", "%%%"]
+    for i in range(4):
+        copy = list(base)
+        copy[i * 7] = "changed"
+        texts.append(" ".join(copy))
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages(spark):
+    folder = workdir(spark)
+    docs = stage(documents(spark), folder, "documents")
+    columns, state = docs.columns, {r.doc_id: r.text for r in docs.collect()}
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, ""), folder, name)
+        assert docs.columns == columns
+        got = {r.doc_id: r.text for r in docs.collect()}
+        if name == "language_id":
+            want = {d: t for d, t in state.items() if t and any(c.isalpha() for c in t)}
+        elif name == "exact_dedup":
+            last = {t: d for d, t in sorted(state.items())}
+            want = {d: t for t, d in last.items()}
+        elif name == "ngram_join":
+            sets, want, root = {d: shingle_set(t) for d, t in state.items()}, {}, {}
+            for d in sorted(sets):
+                like = [e for e in root if 100 * len(sets[d] & sets[e]) >= 75 * len(sets[d] | sets[e])]
+                root[d] = min((root[e] for e in like), default=d)
+                if root[d] == d:
+                    want[d] = state[d]
+            assert len(want) < len(state)
+        else:
+            want = {d: k if g else t for d, t, _, g, k in removed(list(state.items()))}
+            assert want != state
+        assert got == want, name
+        state = got
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == set(state)
+
+
+def test_run(spark, tmp_path):
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 15
+
+
+def test_run_on_nothing(spark, tmp_path):
+    documents(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
