@@ -2,16 +2,20 @@
 
 Each document is the set of its distinct word n-grams (64-bit hashes), in one global order: by the count of
 the hash's cell in a sketch over all texts, so that common n-grams come last, then by the hash. Two sets
-with enough in common share an n-gram among the first ``n - ceil(t n) + 1`` of each (the prefix).
+with enough in common share an n-gram among the first ``n - ceil(t n) + 1`` of each; with a twentieth of the set
+added to that (the prefix), they share ``1 + ceil(t n) // 20`` at least.
 
 1. Sets that are equal are one class from here on.
-2. Prefix n-grams that two classes share make an inverted index of the classes that can link.
-3. Each class is compared with the head of its largest list. Links found so contract families of near
-   copies to few components, and lists within one component are done with.
+2. Prefix n-grams that two classes share make an inverted index of the classes that can link. Classes with
+   fewer shared n-grams than any link needs leave it, and so do n-grams left with one class.
+3. In a few rounds each class is compared with one neighbour of another component in its largest list. Links
+   found so contract families of near copies to few components; lists within one component are done with.
 4. Every other list is a block: its sets go into a prefix tree, where sets with the same beginning share a
    path. A probe walks the tree once, carrying the overlap of the path, and leaves a subtree when the
-   elements still to come, in the probe or the subtree, cannot reach the overlap needed. Long lists are
-   dealt to a triangle of cells of bounded size. Nothing is dropped.
+   elements still to come, in the probe or the subtree, cannot reach the overlap needed. Only sets whose prefix
+   overlap with a partner, known from the lists that hold both, allows a link go into a tree. Long
+   lists are dealt to a triangle of cells of bounded size. Nothing is dropped, and no pairs leave a
+   cell but the links that join components.
 5. The links' connected components are named by their smallest doc_id.
 
 Cases: null counts as empty text; a text with fewer words than n is one n-gram of all its words; without words the
@@ -25,15 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, buffers, drop, list_parts, lists, lower_ascii, mix, powers, row_bounds, run_hashes, schema, slices, stage, tidy, whole_text, word_hashes, word_spans, workdir, _WORD
-from .graph import components
+from ..operators.graph import components
 
 N, PERCENT = 5, 75
 SETS = schema("doc_id long, n_shingles long, sig_a long, sig_b long, prefix array<long>")
 ORDERED = schema("doc_id long, elements array<long>")
+PACKED = schema("doc_id long, packed binary")
 LINKS = schema("a long, b long")
 SKETCH_BITS, _PARTS = 20, 16
 #: Sets that meet in one cell of a block.
@@ -106,7 +111,18 @@ def in_order(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+    return min(n, n - -(-percent * n // 100) + 1 + n // 20) if n else 0
+
+
+def least_shared(n: Column, percent: int) -> Column:
+    """Prefix elements that a set of size n shares with any set it links with, at least.
+
+    Of two linked sets let A be the one whose prefix ends first in the global order: all common elements up to
+    there are in both prefixes, and A misses at most ``n - ceil(t n)`` elements in all. A has ``ceil(t m)`` or more
+    elements, if m is the other's size.
+    """
+    need = F.floor((percent * n + 99) / 100)
+    return 1 + F.floor(need / 20)
 
 
 def _sets(held, n: int, percent: int):
@@ -150,111 +166,169 @@ def _ordered(held, n: int):
 class PrefixTree:
     """Ordered sets (arrays of ranks, ascending) with shared beginnings stored once.
 
-    A node holds a run of ranks, the sets that end there, and for its subtree the smallest set size and
-    the most ranks that follow the run.
+    A set may be given by its first elements alone; ``total`` holds the whole sizes. A node holds a run of ranks, the
+    sets that end there, and for its subtree the smallest whole size and the most elements after the run.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+    def __init__(self, sets: list[np.ndarray], total: np.ndarray):
         self.run, self.ends, self.children, self.least, self.most = [], [], [], [], []
-        self.sets = sets
-        self.roots = self._build(order, 0)
-
-    def _build(self, order: list[int], depth: int) -> list[int]:
-        """Nodes for sorted sets that agree up to ``depth``; built without recursion."""
-        roots: list[int] = []
-        work = [(order, depth, roots)]
-        while work:
+        self.sets, self.total = sets, total
+        self.roots: list[int] = []
+        work = [(sorted((i for i in range(len(sets)) if sets[i].size), key=lambda i: sets[i].astype(">u4").tobytes()), 0, self.roots)]
+        while work:  # without recursion: a tree is as deep as its longest set
             held, at, into = work.pop()
             i = 0
-            while i < len(held) and self.sets[held[i]].size == at:
-                i += 1  # ends above: kept by the caller
             while i < len(held):
-                first, j = self.sets[held[i]], i + 1
-                while j < len(held) and self.sets[held[j]][at] == first[at]:
+                first, j = sets[held[i]], i + 1
+                while j < len(held) and sets[held[j]][at] == first[at]:
                     j += 1
-                last = self.sets[held[j - 1]]
+                last = sets[held[j - 1]]
                 m = min(first.size, last.size)
                 differ = np.flatnonzero(first[at:m] != last[at:m])
                 end = at + int(differ[0]) if differ.size else m
                 node = len(self.run)
-                sizes = [self.sets[x].size for x in held[i:j]]
                 self.run.append(first[at:end])
-                self.ends.append([x for x in held[i:j] if self.sets[x].size == end])
+                self.ends.append([x for x in held[i:j] if sets[x].size == end])
                 self.children.append([])
-                self.least.append(min(sizes))
-                self.most.append(max(sizes) - end)
+                self.least.append(min(int(total[x]) for x in held[i:j]))
+                self.most.append(max(int(total[x]) for x in held[i:j]) - end)
                 into.append(node)
-                rest = [x for x in held[i:j] if self.sets[x].size > end]
+                rest = [x for x in held[i:j] if sets[x].size > end]
                 if rest:
                     work.append((rest, end, self.children[node]))
                 i = j
-        return roots
 
-    def probe(self, member: np.ndarray, ranks: np.ndarray, percent: int, skip) -> Iterator[int]:
-        """Sets whose Jaccard similarity with the probe reaches ``percent``.
+    def probe(self, member: np.ndarray, ranks: np.ndarray, n: int, percent: int) -> Iterator[int]:
+        """Sets that reach ``percent`` similarity with the probe, or may do so where sets are given in part.
 
-        ``member`` tells for each rank if the probe has it. ``skip(i)`` leaves a set out.
+        ``member`` tells for each rank if the probe is known to have it; ``n`` is the probe's whole size.
         """
-        n = ranks.size
         work = [(r, 0) for r in self.roots]
         while work:
             node, overlap = work.pop()
             run = self.run[node]
             overlap += int(member[run].sum())
-            # overlap >= percent * (n + m) / (100 + percent), with m at least the subtree's smallest size
-            needed = -(-percent * (n + self.least[node]) // (100 + percent))
+            for i in self.ends[node]:
+                # Up to the smaller last rank both sides are known; of the rest, no more than either has can agree.
+                known = min(ranks[-1], run[-1])
+                mine, other = n - int(np.searchsorted(ranks, known, "right")), int(self.total[i]) - int(np.searchsorted(self.sets[i], known, "right"))
+                if (100 + percent) * (overlap + min(mine, other)) >= percent * (n + int(self.total[i])):
+                    yield i
             to_come = n - int(np.searchsorted(ranks, run[-1], "right"))
-            if self.ends[node]:
-                for i in self.ends[node]:
-                    if (100 + percent) * overlap >= percent * (n + self.sets[i].size) and not skip(i):
-                        yield i
-            if overlap + min(to_come, self.most[node]) >= needed:
+            if (100 + percent) * (overlap + min(to_come, self.most[node])) >= percent * (n + self.least[node]):
                 work.extend((c, overlap) for c in self.children[node])
 
 
-def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], order_key, percent: int) -> list[tuple[int, int]]:
-    """Links among the sets of a block that join different components; no more than span them."""
-    parent: dict[int, int] = {int(c): int(c) for c in component}
+class _Union:
+    """Components met in a block."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
+    def root(self, c: int) -> int:
+        self.parent.setdefault(c, c)
+        while self.parent[c] != c:
+            self.parent[c] = self.parent[self.parent[c]]
+            c = self.parent[c]
         return c
 
-    every = np.unique(np.concatenate(sets)) if sets else np.zeros(0, U64)
-    every = order_key(every)  # ranks follow the global order
+    def join(self, a: int, b: int) -> None:
+        self.parent[max(a, b)] = min(a, b)
+
+
+def _ranked(sets: list[np.ndarray], order_key) -> tuple[list[np.ndarray], int]:
+    """Sets as ranks in the global order among the block's elements."""
+    every = order_key(np.concatenate(sets))
     by_value = np.argsort(every)
-    ranks = []
-    for s in sets:
-        ranks.append(np.sort(by_value[np.searchsorted(every[by_value], s)]))
-    tree = PrefixTree(ranks)
-    member = np.zeros(every.size, bool)
-    links = []
+    held = every[by_value]
+    return [np.sort(by_value[np.searchsorted(held, s)]) for s in sets], every.size
+
+
+def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], order_key, percent: int) -> list[tuple[int, int]]:
+    """Links among the whole sets of a block that join different components; no more than span them."""
+    ranks, size = _ranked(sets, order_key)
+    tree, member, union, links = PrefixTree(ranks, np.array([r.size for r in ranks])), np.zeros(size, bool), _Union(), []
     for i, own in enumerate(ranks):
         member[own] = True
-        mine = int(component[i])
-        for j in tree.probe(member, own, percent, lambda j, mine=mine: root(int(component[j])) == root(mine)):
-            a, b = root(mine), root(int(component[j]))
+        for j in tree.probe(member, own, own.size, percent):
+            a, b = union.root(int(component[i])), union.root(int(component[j]))
             if a != b:
-                parent[max(a, b)] = min(a, b)
+                union.join(a, b)
                 links.append((int(ids[i]), int(ids[j])))
         member[own] = False
     return links
 
 
+def may_link(component: np.ndarray, n: np.ndarray, prefix: np.ndarray, blocks: list[np.ndarray], weights: list[np.ndarray], token: int, percent: int) -> np.ndarray:
+    """Which sets of a block have a partner of another component there that they may link with.
+
+    ``blocks`` are the blocks that hold each set, ``weights`` how many prefix n-grams each stands for: summed over
+    the blocks that two sets share, they give the exact overlap of the two prefixes. Beyond its prefix a set can
+    share no more than what it has there. A pair that several blocks hold is looked at in the least of them.
+    """
+    size = np.fromiter(map(len, blocks), np.int64, len(blocks))
+    names, at = np.unique(np.concatenate(blocks), return_inverse=True)
+    row = np.repeat(np.arange(size.size), size)
+    held = np.zeros((size.size, names.size), np.float32)
+    held[row, at] = 1
+    weight = np.zeros(names.size, np.float32)
+    weight[at] = np.concatenate(weights)
+    lower = held[:, names < token]
+    other = component[:, None] != component[None, :]
+    ours = (lower @ lower.T) == 0
+    rest = n - prefix
+    most = (held * weight) @ held.T + np.maximum(rest[:, None], rest[None, :])
+    most = np.minimum(most, np.minimum(n[:, None], n[None, :]))
+    return (other & ours & ((100 + percent) * most >= percent * (n[:, None] + n[None, :]))).any(axis=1)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with one (token, i, j) in a stream sorted by it; a cell's rows are bounded."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")])
+        cut = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, batch.num_rows]
+        for a, b in zip(cut.tolist(), cut[1:].tolist()):
+            now = tuple(key[:, a].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lists_of(table: pa.Table, column: str, kind) -> list[np.ndarray]:
+    flat, edge = list_parts(table.column(column).combine_chunks())
+    return [flat[a:b].view(kind) for a, b in zip(edge.tolist(), edge[1:].tolist())]
+
+
+def _survive(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            n = cell.column("n").to_numpy()
+            prefix = np.array([prefix_size(int(x), percent) for x in n])
+            alive = may_link(
+                cell.column("component").to_numpy(), n, prefix, _lists_of(cell, "blocks", np.int64), _lists_of(cell, "weights", np.int64), cell.column("token")[0].as_py(), percent
+            )
+            if alive.any():
+                yield from cell.filter(pa.array(alive)).select(["token", "i", "j", "doc_id", "component"]).combine_chunks().to_batches()
+
+    return run
+
+
 def _join_block(held, percent: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = held.value
-        ids, comps, sets = [], [], []
-        for batch in batches:
-            flat, edge = list_parts(batch.column("elements"))
-            ids.append(batch.column("doc_id").to_numpy())
-            comps.append(batch.column("component").to_numpy())
-            sets += [flat[a:b].view(U64) for a, b in zip(edge.tolist(), edge[1:].tolist())]
-        links = block_links(np.concatenate(ids), np.concatenate(comps), sets, lambda x: in_order(x, sketch), percent)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            links = block_links(
+                cell.column("doc_id").to_numpy(), cell.column("component").to_numpy(), _lists_of(cell, "elements", U64), lambda x: in_order(x, held.value), percent
+            )
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
     return run
 
@@ -262,7 +336,7 @@ def _join_block(held, percent: int):
 # --- the join -----------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: int = CELL, folder: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: int = CELL, rounds: int = 3, folder: str | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row."""
     spark = docs.sparkSession
     folder = folder or workdir(spark)
@@ -273,26 +347,31 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: i
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("head")), folder, "classes")
     heads = classes.select(F.col("head").alias("doc_id"))
-    tokens = full.join(heads, "doc_id", "left_semi")
-    listed = tokens.select("doc_id", F.explode("prefix").alias("token")).withColumn("m", F.count("*").over(Window.partitionBy("token")))
-    index = stage(listed.where("m > 1").select("token", "doc_id").distinct(), folder, "index")
+    tokens = full.join(heads, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+    listed = tokens.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").select("token", "doc_id", "n").distinct()
+    index = _peel(stage(listed, folder, "index_0"), percent, folder)
     tidy(spark)
 
-    elements = _elements(texts, index.select("doc_id").distinct(), held, n, folder)
+    active = stage(index.select("doc_id").distinct(), folder, "active")
+    live = stage(sets.join(active, "doc_id", "left_semi").select("doc_id", "n_shingles", "prefix").dropDuplicates(["doc_id"]), folder, "live")
+    # The text of what the index holds, packed, so that its sets can be made again where they are needed.
+    packed = stage(texts.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack, PACKED), folder, "packed")
     tidy(spark)
-    size = index.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("center")).where("m > 1")
-    largest = index.join(size, "token").groupBy("doc_id").agg(F.max(F.struct("m", "token", "center")).alias("best"))
-    pairs = largest.select("doc_id", F.col("best.center").alias("center")).where("doc_id <> center")
-    of_center = elements.select(F.col("doc_id").alias("center"), F.col("elements").alias("others"))
-    overlap = F.size(F.array_intersect("elements", "others"))
-    link = F.lit(100 + percent) * overlap >= F.lit(percent) * (F.size("elements") + F.size("others"))
-    star = pairs.join(elements, "doc_id").join(of_center, "center").where(link).select(F.col("doc_id").alias("a"), F.col("center").alias("b"))
-    star = stage(star, folder, "star")
-    tidy(spark)
-
-    near = stage(components(star, folder, "near"), folder, "near_map")
-    named = index.join(near, index.doc_id == near.node, "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    links = stage(_block_stage(named, elements, held, percent, cell), folder, "links")
+    named, near = index.withColumn("component", F.col("doc_id")), None
+    found = spark.createDataFrame([], LINKS)
+    for i in range(rounds):
+        star = stage(_neighbours(named, i, live, packed, held, n, percent, f"{folder}/round_{i}"), folder, f"star_{i}")
+        tidy(spark)
+        if star.isEmpty():
+            break
+        found = found.unionByName(star)
+        near = stage(components(found, folder, f"near_{i}"), folder, f"near_map_{i}")
+        held_names = index.join(near, index.doc_id == near.node, "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+        mixed = held_names.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        named = stage(held_names.join(mixed, "token", "left_semi"), folder, f"named_{i}")
+    if near is None:
+        near = spark.createDataFrame([], "node long, component long")
+    links = stage(_block_stage(named, packed, held, n, percent, cell, folder), folder, "links")
     tidy(spark)
     # The components of both kinds of links, over the names of the classes' components so far.
     a, b = near.select(F.col("node").alias("a"), F.col("component").alias("ca")), near.select(F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -304,28 +383,103 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: i
     return base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _elements(texts: DataFrame, active: DataFrame, held, n: int, folder: str) -> DataFrame:
-    """The ordered sets of the classes that the index holds."""
-    near = texts.join(active, "doc_id", "left_semi")
-    return stage(near.mapInArrow(_ordered(held, n), ORDERED), folder, "elements")
+def _peel(index: DataFrame, percent: int, folder: str, rounds: int = 1) -> DataFrame:
+    """The index without classes that share too little to link, and without lists of one class."""
+    for i in range(1, rounds + 1):
+        rich = index.groupBy("doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_shared(F.col("n"), percent))
+        kept = index.join(rich.select("doc_id"), "doc_id", "left_semi")
+        lists_ = kept.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+        index = stage(kept.join(lists_, "token", "left_semi"), folder, f"index_{i}")
+        drop(index.sparkSession, f"{folder}/index_{i - 1}")
+    return index
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [pa.compress((t or "").encode(), "zstd", asbytes=True) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], PACKED.names)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            texts = [zstandard.ZstdDecompressor().decompressobj().decompress(z).decode() for z in part.column("packed").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def _elements(packed: DataFrame, wanted: DataFrame, held, n: int) -> DataFrame:
+    """The ordered whole sets of the wanted doc_ids."""
+    order = _ordered(held, n)
+    return packed.join(wanted, "doc_id", "left_semi").mapInArrow(lambda batches: order(_unpack(batches)), ORDERED)
+
+
+def _neighbours(named: DataFrame, seed: int, live: DataFrame, packed: DataFrame, held, n: int, percent: int, folder: str) -> DataFrame:
+    """Links of each class with one class of another component: its neighbour in its largest list.
+
+    The first round takes the least doc_id of the list, later ones the next in an order by hash, by another seed each time.
+    """
+    if seed == 0:
+        size = named.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("center"))
+        near = named.join(size, "token").where("doc_id <> center").select("doc_id", "m", "center")
+    else:
+        order = Window.partitionBy("token").orderBy(F.xxhash64("doc_id", F.lit(seed)))
+        whole = Window.partitionBy("token")
+        beside = named.select(
+            "doc_id", "component", F.count("*").over(whole).alias("m"), F.lead("doc_id").over(order).alias("center"), F.lead("component").over(order).alias("other"),
+        )
+        near = beside.where("other <> component").select("doc_id", "m", "center")
+    best = near.groupBy("doc_id").agg(F.max(F.struct("m", "center")).alias("best"))
+    return _star(best.select("doc_id", F.col("best.center").alias("center")), live, packed, held, n, percent, folder)
+
+
+def _star(pairs: DataFrame, sets: DataFrame, packed: DataFrame, held, n: int, percent: int, folder: str) -> DataFrame:
+    """Links of (doc_id, center) pairs: those whose prefixes allow it are compared in full."""
+    own = sets.select("doc_id", "n_shingles", "prefix")
+    other = sets.select(F.col("doc_id").alias("center"), F.col("n_shingles").alias("n_center"), F.col("prefix").alias("others"))
+    both = F.col("n_shingles") + F.col("n_center")
+    most = F.size(F.array_intersect("prefix", "others")) + F.greatest(F.col("n_shingles") - F.size("prefix"), F.col("n_center") - F.size("others"))
+    most = F.least(most, "n_shingles", "n_center")
+    likely = pairs.join(own, "doc_id").join(other, "center").where((100 + percent) * most >= percent * both).select("doc_id", "center")
+    likely = stage(likely.distinct(), folder, "likely")
+    wanted = likely.select("doc_id").unionByName(likely.select(F.col("center").alias("doc_id"))).distinct()
+    elements = stage(_elements(packed, wanted, held, n), folder, "star_elements")
+    of_center = elements.select(F.col("doc_id").alias("center"), F.col("elements").alias("others"))
+    overlap = F.size(F.array_intersect("elements", "others"))
+    link = (100 + percent) * overlap >= percent * (F.size("elements") + F.size("others"))
+    return likely.join(elements, "doc_id").join(of_center, "center").where(link).select(F.col("doc_id").alias("a"), F.col("center").alias("b"))
 
 
-def _block_stage(named: DataFrame, elements: DataFrame, held, percent: int, cell: int) -> DataFrame:
+def _block_stage(named: DataFrame, packed: DataFrame, held, n: int, percent: int, cell: int, folder: str) -> DataFrame:
     """Links between components within the index's lists, by prefix trees over bounded cells."""
+    # In a list ordered by size a set can link only if a neighbour's size is near enough.
+    by_size = Window.partitionBy("token").orderBy("n", "doc_id")
+    above, below = F.lead("n").over(by_size), F.lag("n").over(by_size)
+    fits = named.withColumn("fits", F.coalesce(100 * F.col("n") >= percent * above, F.lit(False)) | F.coalesce(100 * below >= percent * F.col("n"), F.lit(False)))
+    named = stage(fits.where("fits").drop("fits"), folder, "sized")
     lists_ = named.groupBy("token").agg(
         F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"),
         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same"),
     ).where("lo < hi")
     # Lists of the same documents are one block.
-    blocks = lists_.groupBy("same", "m").agg(F.min("token").alias("token"))
-    placed = named.join(blocks.select("token", "m"), "token")
+    blocks = lists_.groupBy("same", "m").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
+    placed = stage(named.join(blocks.select("token", "m", "weight"), "token"), folder, "placed")
     parts = F.ceil(F.col("m") / F.lit(cell)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
+    mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
-    celled = placed.withColumn("own", own).withColumn("other", other).select(
-        "doc_id", "component", F.struct("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("cell")
+    celled = placed.withColumn("own", mine).withColumn("other", other).select(
+        "doc_id", "component", "n", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
-    return celled.join(elements, "doc_id").groupBy("cell").applyInArrow(_join_block(held, percent), LINKS)
+    kind = "token long, i int, j int, doc_id long, component long"
+    held_in = F.collect_list(F.struct(F.col("token").alias("b"), F.col("weight").alias("w")))
+    own = placed.groupBy("doc_id").agg(held_in.alias("in")).select("doc_id", F.col("in.b").alias("blocks"), F.col("in.w").alias("weights"))
+    first = celled.join(own, "doc_id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_survive(percent), kind)
+    alive = stage(first, folder, "alive")
+    tidy(alive.sparkSession)
+    elements = _elements(packed, alive.select("doc_id").distinct(), held, n)
+    return alive.join(elements, "doc_id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_join_block(held, percent), LINKS)
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
