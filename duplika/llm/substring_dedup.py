@@ -201,6 +201,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
     live = prepared.join(first, (prepared.sha == first.sha) & (prepared.doc_id == first.earliest), "left_semi")
     seeds = stage(live.select("doc_id", F.explode("anchors").alias("h")), folder, "seeds")
     spread = seeds.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+    # Staged first, so that a join with a hot anchor or window can be split by its rows.
+    spread = stage(spread, folder, "spread")
     shared = stage(seeds.join(spread, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), folder, "shared")
     drop(spark, f"{folder}/seeds")
     tidy(spark)
@@ -209,6 +211,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
     tidy(spark)
     each = windows.select("doc_id", "sig", F.explode(F.arrays_zip("pos", "hash")).alias("w")).select("doc_id", "sig", "w.pos", "w.hash")
     source = each.groupBy("hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("hash", "source")
+    source = stage(source, folder, "source")
     repeated = each.join(source, "hash").where("source < doc_id").groupBy("doc_id", "sig").agg(F.collect_list("pos").alias("places"))
     rest = windows.select("doc_id", "sig", "packed").dropDuplicates(["doc_id", "sig"]).join(repeated, ["doc_id", "sig"])
     cleaned = stage(rest.mapInArrow(_clean(length, with_text), CLEANED), folder, "cleaned")
