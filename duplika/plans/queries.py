@@ -122,7 +122,7 @@ def species_names(spark, sf_dir):
 
 @query(f"WITH {_SEQS}, {_kmers_sql(K)}, l AS (SELECT kmer, count(*) AS list_len FROM kmers GROUP BY kmer) SELECT list_len, count(*) AS n_keys FROM l GROUP BY list_len")
 def kmer_histogram(spark, sf_dir):
-    return seeds.frequency_histogram(seeds.kmers(_seqs(spark, sf_dir), K))
+    return seeds.count_histogram(seeds.kmer_counts(_seqs(spark, sf_dir), K))
 
 
 @query(f"WITH {_MINS} SELECT * FROM mins")
