@@ -43,6 +43,12 @@ def test_minimizers_in_parts(spark, monkeypatch):
     assert h.size == 2995 and size and not at and not parts and last is None
 
 
+def test_counts(spark):
+    df = spark.createDataFrame([("s", "c", "ACGTACGTAC"), ("s", "d", "ACGT"), ("s", "e", None)], "species string, chrom string, seq string")
+    by_number = {r.list_len: r.n_keys for r in seeds.count_histogram(seeds.kmer_counts(df, 4, chunk=3)).collect()}
+    assert by_number == {r.list_len: r.n_keys for r in seeds.frequency_histogram(seeds.kmers(df, 4)).collect()} == {3: 1, 2: 2, 1: 1}
+
+
 def test_cutoff(spark):
     h = spark.createDataFrame([(1, 900), (2, 90), (50, 1)], "list_len long, n_keys long")
     assert seeds.frequency_cutoff(h, 2000).first().threshold == 50
