@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of the Arrow batches that texts travel in; Spark's own 10,000 rows may be hundreds of MB of text.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, where they are not set already."""
+    for name, value in BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+
+
 def whole_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null text as the empty text; other columns are left aside."""
+    bound_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -64,6 +78,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

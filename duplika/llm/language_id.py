@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_class, schema, slices, whole_text
+from .common import bound_batches, id_class, schema, slices, whole_text
 
 UND = "und"
 _SYMBOLS = 64
@@ -61,10 +61,10 @@ def text_vectors(texts: list[str | None], dims: int, seed: int) -> tuple[np.ndar
     out = np.zeros((len(low), dims), np.float32)
     counts = np.bincount(row[middle] * max(1, used.size) + at, minlength=len(low) * used.size)
     counts = counts.reshape(len(low), used.size).astype(np.float32)
-    for a in range(0, used.size, 4096):
-        u = used[a : a + 4096]
+    for a in range(0, used.size, 1024):
+        u = used[a : a + 1024]
         vectors = first[u // _SYMBOLS**2] * mid[u // _SYMBOLS % _SYMBOLS] * last[u % _SYMBOLS]
-        out += counts[:, a : a + 4096] @ vectors.astype(np.float32)
+        out += counts[:, a : a + 1024] @ vectors.astype(np.float32)
     return out, np.bincount(row[middle], minlength=len(low)) > 0
 
 
@@ -150,6 +150,7 @@ def keep_known(docs: DataFrame, profiles: dict, min_score: float = 0.3, sharpnes
     preference among four languages; with no learned language every row with a letter stays.
     """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 19):
