@@ -213,7 +213,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             ids, offsets = bpe.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids, offsets, pa.int32())], ENCODED.names)
 
@@ -239,7 +239,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             ids, offsets = bpe.encode(batch.column("text").to_pylist())
             edges = offsets.tolist()
             written, decoded = [], []

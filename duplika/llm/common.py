@@ -17,7 +17,7 @@ from ..staging import drop, exists, stage, tidy, workdir  # noqa: F401
 
 U64 = np.uint64
 #: Text bytes handled at once by the numpy kernels; a longer document is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 # --- tables ------------------------------------------------------------------
 

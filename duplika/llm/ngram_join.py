@@ -19,7 +19,8 @@ added to that (the prefix), they share ``1 + ceil(t n) // 20`` at least.
 5. The links' connected components are named by their smallest doc_id.
 
 Cases: null counts as empty text; a text with fewer words than n is one n-gram of all its words; without words the
-set is empty and links with nothing; equal rows share a component; rows with a null doc_id come back with a null component
+set is empty and links with nothing; equal rows share a component; doc_id names a document, so of rows that share one but
+differ in text the text of one stands for it in links; rows with a null doc_id come back with a null component
 and link nothing; an empty table gives no rows; columns besides doc_id and text are not read.
 """
 

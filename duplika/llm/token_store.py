@@ -29,7 +29,7 @@ STORED = schema("doc_id long, part int, local_start long, n_tokens long, ids arr
 def _encode(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             ids, offsets = encoder(path).encode(batch.column("text"), end_id)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
