@@ -340,7 +340,8 @@ def _join_block(held, percent: int):
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: int = CELL, rounds: int = 3, folder: str | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row."""
     spark = docs.sparkSession
-    folder = folder or workdir(spark)
+    home = folder or workdir(spark)
+    folder = f"{home}/work"
     texts = whole_text(docs)
     held = spark.sparkContext.broadcast(count_sketch(texts, n))  # 4 MB
     sets = stage(texts.mapInArrow(_sets(held, n, percent), SETS), folder, "sets")
@@ -381,7 +382,10 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: i
     named = classes.join(near, classes["head"] == near.node, "left").withColumn("inner", F.coalesce("component", "head"))
     named = named.join(last, "inner", "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("outer", "inner").alias("component_id"))
     base = sets.select("doc_id", "n_shingles", "sig_a", "sig_b").join(named, ["sig_a", "sig_b", "n_shingles"], "left")
-    return base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named_rows = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = stage(named_rows, home, "components")
+    drop(spark, folder)
+    return out
 
 
 def _peel(index: DataFrame, percent: int, folder: str, rounds: int = 1) -> DataFrame:
