@@ -464,14 +464,15 @@ def _corpus(spark, sf_dir) -> DataFrame:
 
 @query()
 def chain_dp(spark, sf_dir):
-    """Seed-density chains between all documents."""
-    settings = repeats.Settings(max_list=MAX_LIST)
-    mins = stage(seeds.minimizers(_corpus(spark, sf_dir), K, W), workdir(spark), "mins")
-    return repeats.chain_seeds(seeds.seed_hits(mins, MAX_LIST), settings)
+    """Seed-density chains within and between all documents, both strands; with rc y counts on the reverse strand."""
+    settings, seqs = repeats.Settings(), _corpus(spark, sf_dir)
+    chains = repeats.search_chains(seqs, settings, workdir(spark))
+    lengths = seqs.select("species", "chrom", F.length("seq").cast("long").alias("len"))
+    return repeats.turned(repeats.with_lengths(chains, lengths), K).drop("own", "len_x", "len_y")
 
 
 def _aligned(spark, sf_dir, folder: str) -> DataFrame:
-    settings, seqs = repeats.Settings(max_list=MAX_LIST), _corpus(spark, sf_dir)
+    settings, seqs = repeats.Settings(), _corpus(spark, sf_dir)
     return repeats.align(repeats.search(seqs, settings, f"{folder}/search"), seqs, settings, f"{folder}/align")
 
 
