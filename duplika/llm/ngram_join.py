@@ -6,17 +6,22 @@ with enough in common share an n-gram among the first ``n - ceil(t n) + 1`` of e
 added to that (the prefix), they share ``1 + ceil(t n) // 20`` at least.
 
 1. Sets that are equal are one class from here on.
-2. Prefix n-grams that two classes share make an inverted index of the classes that can link. Classes with
-   fewer shared n-grams than any link needs leave it, and so do n-grams left with one class.
-3. In a few rounds each class is compared with one neighbour of another component in its largest list. Links
-   found so contract families of near copies to few components; lists within one component are done with.
-4. Every other list is a block: its sets go into a prefix tree, where sets with the same beginning share a
-   path. A probe walks the tree once, carrying the overlap of the path, and leaves a subtree when the
-   elements still to come, in the probe or the subtree, cannot reach the overlap needed. Only sets whose prefix
-   overlap with a partner, known from the lists that hold both, allows a link go into a tree. Long
-   lists are dealt to a triangle of cells of bounded size. Nothing is dropped, and no pairs leave a
-   cell but the links that join components.
-5. The links' connected components are named by their smallest doc_id.
+2. Prefix n-grams that two classes share are the first branches of the trees: each has the list of the classes that
+   hold it, with the place where it stands in each. Classes with fewer shared n-grams than any link needs leave,
+   and so do lists with one class.
+3. Two sets whose first common n-gram stands at places p and q have no more in common than ``min(n - p, m - q)``, what
+   still comes from there on. A class stays in a list only if one of another component there, of some size, can
+   reach the overlap needed by that bound (``within_reach``); sizes and bounds are aggregated by list and size, so a
+   list is never gathered.
+4. In a few rounds each class goes to one block of its longest list, with the class that has the n-gram earliest as a
+   guest of all blocks of the list. Families of near copies contract to one component, and step 3 is repeated.
+5. Then each list is a block; lists of the same classes are one, and lists beyond the bounded size of a block are dealt to
+   a triangle of blocks, the exact way for families that are dense and yet not linked.
+6. In a block the sets go into a prefix tree, where sets with the same beginning share a path. A probe walks the tree
+   once, carrying the overlap of the path, and leaves a subtree when the elements still to come, in the probe or
+   the subtree, cannot reach the overlap needed. All links come from there. Nothing is dropped, and no pairs leave a
+   block but the links that join components.
+7. The links' connected components are named by their smallest doc_id.
 
 Cases: null counts as empty text; a text with fewer words than n is one n-gram of all its words; without words the
 set is empty and links with nothing; equal rows share a component; doc_id names a document, so of rows that share one but
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, buffers, drop, list_parts, lists, lower_ascii, mix, powers, row_bounds, run_hashes, schema, slices, stage, tidy, whole_text, word_hashes, word_spans, workdir, _WORD
@@ -38,12 +43,11 @@ from ..operators.graph import components
 
 N, PERCENT = 5, 75
 SETS = schema("doc_id long, n_shingles long, sig_a long, sig_b long, prefix array<long>")
-ORDERED = schema("doc_id long, elements array<long>")
-PACKED = schema("doc_id long, packed binary")
+ORDERED = schema("doc_id long, sig_a long, sig_b long, elements array<long>")
 LINKS = schema("a long, b long")
 SKETCH_BITS, _PARTS = 20, 16
-#: Sets that meet in one cell of a block.
-CELL = 256
+#: Sets that meet in a block of the last step and of a round, and their n-grams in all.
+CELL, ROUND_CELL, CELL_GRAMS = 256, 64, 1 << 20
 
 
 # --- sets -----------------------------------------------------------------------
@@ -126,24 +130,26 @@ def least_shared(n: Column, percent: int) -> Column:
     return 1 + F.floor(need / 20)
 
 
+def _signatures(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits that tell sets apart."""
+    a, b = [s.sum(dtype=U64) for s in sets], [mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) for s in sets]
+    return [pa.array(np.array(x, U64).view(np.int64)) for x in (a, b)]
+
+
+def _column(sets: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+    return lists(flat.view(np.int64), np.cumsum([0, *(s.size for s in sets)]), pa.int64())
+
+
 def _sets(held, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = held.value
         for batch in slices(batches):
             grams, edge = shingles(batch.column("text"), n)
-            sizes, a, b, heads = [], [], [], []
-            for i, j in zip(edge.tolist(), edge[1:].tolist()):
-                own = in_order(grams[i:j], sketch)
-                sizes.append(own.size)
-                a.append(own.sum(dtype=U64))
-                b.append(mix(own ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
-                heads.append(own[: prefix_size(own.size, percent)])
-            cut = np.cumsum([0, *(h.size for h in heads)])
-            prefix = np.concatenate(heads) if heads else np.zeros(0, U64)
-            signs = [pa.array(np.array(x, U64).view(np.int64)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(sizes, np.int64)), *signs, lists(prefix.view(np.int64), cut, pa.int64())], SETS.names
-            )
+            sets = [in_order(grams[i:j], sketch) for i, j in zip(edge.tolist(), edge[1:].tolist())]
+            sizes = pa.array(np.array([s.size for s in sets], np.int64))
+            heads = _column([s[: prefix_size(s.size, percent)] for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, *_signatures(sets), heads], SETS.names)
 
     return run
 
@@ -154,9 +160,7 @@ def _ordered(held, n: int):
         for batch in slices(batches):
             grams, edge = shingles(batch.column("text"), n)
             sets = [in_order(grams[i:j], sketch) for i, j in zip(edge.tolist(), edge[1:].tolist())]
-            cut = np.cumsum([0, *(s.size for s in sets)])
-            flat = np.concatenate(sets) if sets else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(flat.view(np.int64), cut, pa.int64())], ORDERED.names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_signatures(sets), _column(sets)], ORDERED.names)
 
     return run
 
@@ -247,6 +251,9 @@ def _ranked(sets: list[np.ndarray], order_key) -> tuple[list[np.ndarray], int]:
 
 def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], order_key, percent: int) -> list[tuple[int, int]]:
     """Links among the whole sets of a block that join different components; no more than span them."""
+    apart = np.unique(component).size
+    if apart < 2:
+        return []
     ranks, size = _ranked(sets, order_key)
     tree, member, union, links = PrefixTree(ranks, np.array([r.size for r in ranks])), np.zeros(size, bool), _Union(), []
     for i, own in enumerate(ranks):
@@ -257,34 +264,13 @@ def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray],
                 union.join(a, b)
                 links.append((int(ids[i]), int(ids[j])))
         member[own] = False
+        if len(links) == apart - 1:  # one component
+            break
     return links
 
 
-def may_link(component: np.ndarray, n: np.ndarray, prefix: np.ndarray, blocks: list[np.ndarray], weights: list[np.ndarray], token: int, percent: int) -> np.ndarray:
-    """Which sets of a block have a partner of another component there that they may link with.
-
-    ``blocks`` are the blocks that hold each set, ``weights`` how many prefix n-grams each stands for: summed over
-    the blocks that two sets share, they give the exact overlap of the two prefixes. Beyond its prefix a set can
-    share no more than what it has there. A pair that several blocks hold is looked at in the least of them.
-    """
-    size = np.fromiter(map(len, blocks), np.int64, len(blocks))
-    names, at = np.unique(np.concatenate(blocks), return_inverse=True)
-    row = np.repeat(np.arange(size.size), size)
-    held = np.zeros((size.size, names.size), np.float32)
-    held[row, at] = 1
-    weight = np.zeros(names.size, np.float32)
-    weight[at] = np.concatenate(weights)
-    lower = held[:, names < token]
-    other = component[:, None] != component[None, :]
-    ours = (lower @ lower.T) == 0
-    rest = n - prefix
-    most = (held * weight) @ held.T + np.maximum(rest[:, None], rest[None, :])
-    most = np.minimum(most, np.minimum(n[:, None], n[None, :]))
-    return (other & ours & ((100 + percent) * most >= percent * (n[:, None] + n[None, :]))).any(axis=1)
-
-
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows with one (token, i, j) in a stream sorted by it; a cell's rows are bounded."""
+    """Runs of rows with one (token, i, j) in a stream sorted by it; a block's rows are bounded."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -308,20 +294,6 @@ def _lists_of(table: pa.Table, column: str, kind) -> list[np.ndarray]:
     return [flat[a:b].view(kind) for a, b in zip(edge.tolist(), edge[1:].tolist())]
 
 
-def _survive(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _cells(batches):
-            n = cell.column("n").to_numpy()
-            prefix = np.array([prefix_size(int(x), percent) for x in n])
-            alive = may_link(
-                cell.column("component").to_numpy(), n, prefix, _lists_of(cell, "blocks", np.int64), _lists_of(cell, "weights", np.int64), cell.column("token")[0].as_py(), percent
-            )
-            if alive.any():
-                yield from cell.filter(pa.array(alive)).select(["token", "i", "j", "doc_id", "component"]).combine_chunks().to_batches()
-
-    return run
-
-
 def _join_block(held, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
@@ -337,7 +309,9 @@ def _join_block(held, percent: int):
 # --- the join -----------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: int = CELL, rounds: int = 3, folder: str | None = None) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, n: int = N, percent: int = PERCENT, cell: int = CELL, round_cell: int = ROUND_CELL, rounds: int = 4, folder: str | None = None
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row."""
     spark = docs.sparkSession
     home = folder or workdir(spark)
@@ -348,39 +322,38 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: i
     tidy(spark)
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("head")), folder, "classes")
-    heads = classes.select(F.col("head").alias("doc_id"))
-    tokens = full.join(heads, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
-    listed = tokens.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1").select("token", "doc_id", "n").distinct()
-    index = _peel(stage(listed, folder, "index_0"), percent, folder)
+    # A class speaks through its smallest doc_id; of classes with one doc_id (rows that differ in text) one speaks.
+    voices = classes.groupBy(F.col("head").alias("doc_id")).agg(F.max(F.struct("sig_a", "sig_b", "n_shingles")).alias("v")).select("doc_id", "v.*")
+    voices = stage(voices, folder, "voices")
+    index = stage(_index(full.join(voices, voices.columns, "left_semi")), folder, "index")
+    index = stage(_peel(index, percent), folder, "peeled")
+    drop(spark, f"{folder}/index")
     tidy(spark)
 
-    active = stage(index.select("doc_id").distinct(), folder, "active")
-    live = stage(sets.join(active, "doc_id", "left_semi").select("doc_id", "n_shingles", "prefix").dropDuplicates(["doc_id"]), folder, "live")
-    # The text of what the index holds, packed, so that its sets can be made again where they are needed.
-    packed = stage(texts.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack, PACKED), folder, "packed")
-    tidy(spark)
-    named, near = index.withColumn("component", F.col("doc_id")), None
     found = spark.createDataFrame([], LINKS)
+    alive = stage(within_reach(index.withColumn("component", F.col("doc_id")), percent), folder, "alive")
+    # The sets of what the lists hold, whole and in order.
+    wanted = voices.join(alive.select("doc_id").distinct(), "doc_id", "left_semi").drop("n_shingles")
+    whole = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_ordered(held, n), ORDERED)
+    whole = whole.join(wanted, wanted.columns, "left_semi").select("doc_id", "elements").dropDuplicates(["doc_id"])
+    elements = stage(whole, folder, "elements")
+    tidy(spark)
     for i in range(rounds):
-        star = stage(_neighbours(named, i, live, packed, held, n, percent, f"{folder}/round_{i}"), folder, f"star_{i}")
-        tidy(spark)
-        if star.isEmpty():
+        if alive.isEmpty():
+            break
+        links = stage(_linked(_one_block_each(alive, i, round_cell), elements, held, percent), folder, f"links_{i}")
+        longest = alive.groupBy("token").count().agg(F.max("count")).first()[0]
+        if links.isEmpty() and longest <= cell:
             break
-        found = found.unionByName(star)
+        found = found.unionByName(links)
         near = stage(components(found, folder, f"near_{i}"), folder, f"near_map_{i}")
-        held_names = index.join(near, index.doc_id == near.node, "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        mixed = held_names.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        named = stage(held_names.join(mixed, "token", "left_semi"), folder, f"named_{i}")
-    if near is None:
-        near = spark.createDataFrame([], "node long, component long")
-    links = stage(_block_stage(named, packed, held, n, percent, cell, folder), folder, "links")
+        named = alive.drop("component").join(near, alive.doc_id == near.node, "left")
+        named = named.withColumn("component", F.coalesce("component", "doc_id")).select(alive.columns)
+        alive = stage(within_reach(named, percent), folder, f"alive_{i}")
+    links = stage(_linked(_blocks(alive, cell), elements, held, percent), folder, "links")
     tidy(spark)
-    # The components of both kinds of links, over the names of the classes' components so far.
-    a, b = near.select(F.col("node").alias("a"), F.col("component").alias("ca")), near.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    over = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    last = stage(components(over, folder, "last"), folder, "last_map").select(F.col("node").alias("inner"), F.col("component").alias("outer"))
-    named = classes.join(near, classes["head"] == near.node, "left").withColumn("inner", F.coalesce("component", "head"))
-    named = named.join(last, "inner", "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("outer", "inner").alias("component_id"))
+    last = stage(components(found.unionByName(links), folder, "last"), folder, "last_map")
+    named = classes.join(last, classes["head"] == last.node, "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     base = sets.select("doc_id", "n_shingles", "sig_a", "sig_b").join(named, ["sig_a", "sig_b", "n_shingles"], "left")
     named_rows = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     out = stage(named_rows, home, "components")
@@ -388,109 +361,76 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT, cell: i
     return out
 
 
-def _peel(index: DataFrame, percent: int, folder: str, rounds: int = 1) -> DataFrame:
-    """The index without classes that share too little to link, and without lists of one class."""
-    for i in range(1, rounds + 1):
-        rich = index.groupBy("doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_shared(F.col("n"), percent))
-        kept = index.join(rich.select("doc_id"), "doc_id", "left_semi")
-        lists_ = kept.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-        index = stage(kept.join(lists_, "token", "left_semi"), folder, f"index_{i}")
-        drop(index.sparkSession, f"{folder}/index_{i - 1}")
-    return index
+def _index(sets: DataFrame) -> DataFrame:
+    """``token, doc_id, n, pos``: the prefix n-grams that two documents or more hold."""
+    tokens = sets.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
+    return tokens.join(shared, "token").select("token", "doc_id", "n", "pos").distinct()
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        packed = [pa.compress((t or "").encode(), "zstd", asbytes=True) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], PACKED.names)
+def _peel(index: DataFrame, percent: int) -> DataFrame:
+    """The index without classes that share too little to link."""
+    rich = index.groupBy("doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_shared(F.col("n"), percent))
+    return index.join(rich.select("doc_id"), "doc_id", "left_semi")
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def within_reach(named: DataFrame, percent: int) -> DataFrame:
+    """Rows of (token, doc_id, n, pos, component) whose list holds one of another component in reach.
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            texts = [zstandard.ZstdDecompressor().decompressobj().decompress(z).decode() for z in part.column("packed").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+    Sets of sizes n and m that meet at places p and q first can link only if
+    ``(100 + percent) min(n - p, m - q) >= percent (n + m)``: each one's own bound is the largest size that its
+    partner may have, and both sizes must be within the other's bound. Each list has, by size, the largest bound and the largest
+    bound of another component. Sizes beyond 512 go in steps of a 256th or less, with the least size of a step.
+    """
+    bound = F.expr(f"({100 + percent} * (n - pos)) div {percent} - n")
+    unit = F.pow(F.lit(2), F.greatest(F.floor(F.log2("n")) - 8, F.lit(0))).cast("long")
+    rows = named.withColumn("bound", bound).withColumn("size", F.col("n") - F.col("n") % unit)
+    top = rows.groupBy("token", "size").agg(F.min("n").alias("least"), F.max(F.struct("bound", "component")).alias("top"))
+    other = rows.join(top, ["token", "size"]).where("component <> top.component").groupBy("token", "size").agg(F.max("bound").alias("other"))
+    sizes = top.join(other, ["token", "size"], "left").select("token", F.struct("least", "top", F.coalesce("other", F.lit(-1)).alias("other")).alias("s"))
+    sizes = sizes.groupBy("token").agg(F.collect_list("s").alias("sizes"))
+    in_reach = F.expr("exists(sizes, s -> s.least <= bound and if(s.top.component = component, s.other, s.top.bound) >= n)")
+    return rows.join(sizes, "token").where(in_reach).select(named.columns)
 
 
-def _elements(packed: DataFrame, wanted: DataFrame, held, n: int) -> DataFrame:
-    """The ordered whole sets of the wanted doc_ids."""
-    order = _ordered(held, n)
-    return packed.join(wanted, "doc_id", "left_semi").mapInArrow(lambda batches: order(_unpack(batches)), ORDERED)
+def _parts(cell: int) -> Column:
+    """Blocks that a list of m sets and ``grams`` n-grams is dealt to."""
+    return F.greatest(F.ceil(F.col("m") / cell), F.ceil(F.col("grams") / CELL_GRAMS)).cast("int")
 
 
-def _neighbours(named: DataFrame, seed: int, live: DataFrame, packed: DataFrame, held, n: int, percent: int, folder: str) -> DataFrame:
-    """Links of each class with one class of another component: its neighbour in its largest list.
+def _one_block_each(alive: DataFrame, seed: int, cell: int) -> DataFrame:
+    """``token, i, j, doc_id, component``: each class in one block of its longest list, beside a guest of all the list's blocks."""
+    size = alive.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("grams"), F.min(F.struct("pos", "doc_id", "component")).alias("guest"))
+    best = alive.join(size.withColumn("parts", _parts(cell)), "token").groupBy("doc_id", "component")
+    best = best.agg(F.max(F.struct("m", "token", "parts", "guest")).alias("best")).select("doc_id", "component", "best.*")
+    best = best.withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "parts").cast("int"))
+    guests = best.select("token", "i", F.col("guest.doc_id").alias("doc_id"), F.col("guest.component").alias("component"))
+    return best.select("token", "i", "doc_id", "component").unionByName(guests).distinct().withColumn("j", F.lit(0))
 
-    The first round takes the least doc_id of the list, later ones the next in an order by hash, by another seed each time.
-    """
-    if seed == 0:
-        size = named.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("center"))
-        near = named.join(size, "token").where("doc_id <> center").select("doc_id", "m", "center")
-    else:
-        order = Window.partitionBy("token").orderBy(F.xxhash64("doc_id", F.lit(seed)))
-        whole = Window.partitionBy("token")
-        beside = named.select(
-            "doc_id", "component", F.count("*").over(whole).alias("m"), F.lead("doc_id").over(order).alias("center"), F.lead("component").over(order).alias("other"),
-        )
-        near = beside.where("other <> component").select("doc_id", "m", "center")
-    best = near.groupBy("doc_id").agg(F.max(F.struct("m", "center")).alias("best"))
-    return _star(best.select("doc_id", F.col("best.center").alias("center")), live, packed, held, n, percent, folder)
-
-
-def _star(pairs: DataFrame, sets: DataFrame, packed: DataFrame, held, n: int, percent: int, folder: str) -> DataFrame:
-    """Links of (doc_id, center) pairs: those whose prefixes allow it are compared in full."""
-    own = sets.select("doc_id", "n_shingles", "prefix")
-    other = sets.select(F.col("doc_id").alias("center"), F.col("n_shingles").alias("n_center"), F.col("prefix").alias("others"))
-    both = F.col("n_shingles") + F.col("n_center")
-    most = F.size(F.array_intersect("prefix", "others")) + F.greatest(F.col("n_shingles") - F.size("prefix"), F.col("n_center") - F.size("others"))
-    most = F.least(most, "n_shingles", "n_center")
-    likely = pairs.join(own, "doc_id").join(other, "center").where((100 + percent) * most >= percent * both).select("doc_id", "center")
-    likely = stage(likely.distinct(), folder, "likely")
-    wanted = likely.select("doc_id").unionByName(likely.select(F.col("center").alias("doc_id"))).distinct()
-    elements = stage(_elements(packed, wanted, held, n), folder, "star_elements")
-    of_center = elements.select(F.col("doc_id").alias("center"), F.col("elements").alias("others"))
-    overlap = F.size(F.array_intersect("elements", "others"))
-    link = (100 + percent) * overlap >= percent * (F.size("elements") + F.size("others"))
-    return likely.join(elements, "doc_id").join(of_center, "center").where(link).select(F.col("doc_id").alias("a"), F.col("center").alias("b"))
-
-
-def _block_stage(named: DataFrame, packed: DataFrame, held, n: int, percent: int, cell: int, folder: str) -> DataFrame:
-    """Links between components within the index's lists, by prefix trees over bounded cells."""
-    # In a list ordered by size a set can link only if a neighbour's size is near enough.
-    by_size = Window.partitionBy("token").orderBy("n", "doc_id")
-    above, below = F.lead("n").over(by_size), F.lag("n").over(by_size)
-    fits = named.withColumn("fits", F.coalesce(100 * F.col("n") >= percent * above, F.lit(False)) | F.coalesce(100 * below >= percent * F.col("n"), F.lit(False)))
-    named = stage(fits.where("fits").drop("fits"), folder, "sized")
-    lists_ = named.groupBy("token").agg(
-        F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same"),
-    ).where("lo < hi")
-    # Lists of the same documents are one block.
-    blocks = lists_.groupBy("same", "m").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-    placed = stage(named.join(blocks.select("token", "m", "weight"), "token"), folder, "placed")
-    parts = F.ceil(F.col("m") / F.lit(cell)).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    celled = placed.withColumn("own", mine).withColumn("other", other).select(
-        "doc_id", "component", "n", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
-    kind = "token long, i int, j int, doc_id long, component long"
-    held_in = F.collect_list(F.struct(F.col("token").alias("b"), F.col("weight").alias("w")))
-    own = placed.groupBy("doc_id").agg(held_in.alias("in")).select("doc_id", F.col("in.b").alias("blocks"), F.col("in.w").alias("weights"))
-    first = celled.join(own, "doc_id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_survive(percent), kind)
-    alive = stage(first, folder, "alive")
-    tidy(alive.sparkSession)
-    elements = _elements(packed, alive.select("doc_id").distinct(), held, n)
-    return alive.join(elements, "doc_id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_join_block(held, percent), LINKS)
+
+def _blocks(alive: DataFrame, cell: int) -> DataFrame:
+    """``token, i, j, doc_id, component``: every list as a block; a list beyond a block's size as blocks of two parts each."""
+    size = alive.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("grams"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same"))
+    once = size.groupBy("same", "m", "grams").agg(F.min("token").alias("token")).select("token", _parts(cell).alias("parts"))
+    rows = alive.join(once, "token").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    small = rows.where("parts = 1").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "component")
+    long = rows.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    long = long.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
+    return small.unionByName(long)
+
+
+def _linked(blocks: DataFrame, elements: DataFrame, held, percent: int) -> DataFrame:
+    """Links between components within blocks, by prefix trees."""
+    dealt = blocks.join(elements, "doc_id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(_join_block(held, percent), LINKS)
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its component; texts without words all stay."""
     found = near_duplicates(docs, n, percent).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = rows.join(found, "doc_id", "left_semi").select("row").unionByName(rows.where("doc_id is null").select("row"))
+    return kept.select("row.*")
 
 
 def ngram_join_query(docs: DataFrame) -> DataFrame:

@@ -162,8 +162,8 @@ def test_ngram_join(docs, none):
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
                 p, q = root(a), root(b)
                 parent[max(p, q)] = min(p, q)
-    for cell in (256, 2):
-        got = ngram_join.near_duplicates(docs, cell=cell).collect()
+    for cell, round_cell, rounds in ((256, 64, 4), (2, 2, 4), (2, 2, 0), (256, 2, 1)):
+        got = ngram_join.near_duplicates(docs, cell=cell, round_cell=round_cell, rounds=rounds).collect()
         assert len(got) == len(ROWS)
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == Counter((d, len(x), root(d)) for d, x in sets)
     assert len({root(d) for d, _ in sets}) < len({d for d, _ in sets}) - 8
