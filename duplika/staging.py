@@ -27,10 +27,19 @@ def workdir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: the shuffle files of a query go when it ends. A staged table is read, its query never runs again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write as Parquet and read back: cuts the lineage and survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
+    path, conf = f"{folder}/{name}", df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
