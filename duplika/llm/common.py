@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..staging import drop, exists, stage, tidy, workdir  # noqa: F401
+from ..staging import drop, exists, stage, workdir  # noqa: F401
 
 U64 = np.uint64
 #: Text bytes handled at once by the numpy kernels; a longer document is handled alone.

@@ -2,21 +2,20 @@
 
 Each document is the set of its distinct word n-grams (64-bit hashes), in one global order: by the count of
 the hash's cell in a sketch over all texts, so that common n-grams come last, then by the hash. Two sets
-with enough in common share an n-gram among the first ``n - ceil(t n) + 1`` of each; with a twentieth of the set
-added to that (the prefix), they share ``1 + ceil(t n) // 20`` at least.
+with enough in common share an n-gram among the first ``n - ceil(t n) + 1`` of each, the prefix.
 
 1. Sets that are equal are one class from here on.
 2. Prefix n-grams that two classes share are the first branches of the trees: each has the list of the classes that
-   hold it, with the place where it stands in each. Classes with fewer shared n-grams than any link needs leave,
-   and so do lists with one class.
+   hold it, with the place where it stands in each.
 3. Two sets whose first common n-gram stands at places p and q have no more in common than ``min(n - p, m - q)``, what
    still comes from there on. A class stays in a list only if one of another component there, of some size, can
-   reach the overlap needed by that bound (``within_reach``); sizes and bounds are aggregated by list and size, so a
-   list is never gathered.
+   reach the overlap needed by that bound (``within_reach``). Lists of at most ``SHORT`` classes are looked at whole; of longer
+   ones the bounds are aggregated by size, so a long list is never gathered.
 4. In a few rounds each class goes to one block of its longest list, with the class that has the n-gram earliest as a
    guest of all blocks of the list. Families of near copies contract to one component, and step 3 is repeated.
 5. Then each list is a block; lists of the same classes are one, and lists beyond the bounded size of a block are dealt to
-   a triangle of blocks, the exact way for families that are dense and yet not linked.
+   a triangle of blocks, the exact way for families that are dense and yet not linked. Trees of the sets' beginnings tell
+   which sets may link in a block, and only these come whole.
 6. In a block the sets go into a prefix tree, where sets with the same beginning share a path. A probe walks the tree
    once, carrying the overlap of the path, and leaves a subtree when the elements still to come, in the probe or
    the subtree, cannot reach the overlap needed. All links come from there. Nothing is dropped, and no pairs leave a
@@ -38,16 +37,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, drop, list_parts, lists, lower_ascii, mix, powers, row_bounds, run_hashes, schema, slices, stage, tidy, whole_text, word_hashes, word_spans, workdir, _WORD
+from .common import U64, buffers, drop, list_parts, lists, lower_ascii, mix, powers, row_bounds, run_hashes, schema, slices, stage, whole_text, word_hashes, word_spans, workdir, _WORD
 from ..operators.graph import components
 
 N, PERCENT = 5, 75
 SETS = schema("doc_id long, n_shingles long, sig_a long, sig_b long, prefix array<long>")
-ORDERED = schema("doc_id long, sig_a long, sig_b long, elements array<long>")
+ORDERED = schema("doc_id long, elements array<long>")
+BLOCKS = schema("token long, i int, j int, doc_id long, component long")
 LINKS = schema("a long, b long")
 SKETCH_BITS, _PARTS = 20, 16
 #: Sets that meet in a block of the last step and of a round, and their n-grams in all.
 CELL, ROUND_CELL, CELL_GRAMS = 256, 64, 1 << 20
+#: Lists of so many classes are looked at whole.
+SHORT = 64
 
 
 # --- sets -----------------------------------------------------------------------
@@ -116,18 +118,7 @@ def in_order(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return min(n, n - -(-percent * n // 100) + 1 + n // 20) if n else 0
-
-
-def least_shared(n: Column, percent: int) -> Column:
-    """Prefix elements that a set of size n shares with any set it links with, at least.
-
-    Of two linked sets let A be the one whose prefix ends first in the global order: all common elements up to
-    there are in both prefixes, and A misses at most ``n - ceil(t n)`` elements in all. A has ``ceil(t m)`` or more
-    elements, if m is the other's size.
-    """
-    need = F.floor((percent * n + 99) / 100)
-    return 1 + F.floor(need / 20)
+    return min(n, n - -(-percent * n // 100) + 1) if n else 0
 
 
 def _signatures(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -155,12 +146,16 @@ def _sets(held, n: int, percent: int):
 
 
 def _ordered(held, n: int):
+    """Whole sets of the texts that have the signature asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = held.value
         for batch in slices(batches):
             grams, edge = shingles(batch.column("text"), n)
             sets = [in_order(grams[i:j], sketch) for i, j in zip(edge.tolist(), edge[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_signatures(sets), _column(sets)], ORDERED.names)
+            right = np.logical_and.reduce([own.to_numpy() == batch.column(c).to_numpy() for own, c in zip(_signatures(sets), ("sig_a", "sig_b"))])
+            own = [s for s, r in zip(sets, right.tolist()) if r]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(right)), _column(own)], ORDERED.names)
 
     return run
 
@@ -294,6 +289,31 @@ def _lists_of(table: pa.Table, column: str, kind) -> list[np.ndarray]:
     return [flat[a:b].view(kind) for a, b in zip(edge.tolist(), edge[1:].tolist())]
 
 
+def may_link(component: np.ndarray, n: np.ndarray, heads: list[np.ndarray], order_key, percent: int) -> np.ndarray:
+    """Which sets of a block, given by their beginnings, may link with one of another component there."""
+    found = np.zeros(n.size, bool)
+    ranks, size = _ranked(heads, order_key)
+    tree, member = PrefixTree(ranks, n), np.zeros(size, bool)
+    for i, own in enumerate(ranks):
+        member[own] = True
+        for j in tree.probe(member, own, int(n[i]), percent):
+            if component[i] != component[j]:
+                found[i] = found[j] = True
+        member[own] = False
+    return found
+
+
+def _survive(held, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            heads = _lists_of(cell, "head", U64)
+            alive = may_link(cell.column("component").to_numpy(), cell.column("n").to_numpy(), heads, lambda x: in_order(x, held.value), percent)
+            if alive.any():
+                yield from cell.filter(pa.array(alive)).select(BLOCKS.names).combine_chunks().to_batches()
+
+    return run
+
+
 def _join_block(held, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
@@ -319,39 +339,35 @@ def near_duplicates(
     texts = whole_text(docs)
     held = spark.sparkContext.broadcast(count_sketch(texts, n))  # 4 MB
     sets = stage(texts.mapInArrow(_sets(held, n, percent), SETS), folder, "sets")
-    tidy(spark)
     full = sets.where("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("head")), folder, "classes")
     # A class speaks through its smallest doc_id; of classes with one doc_id (rows that differ in text) one speaks.
     voices = classes.groupBy(F.col("head").alias("doc_id")).agg(F.max(F.struct("sig_a", "sig_b", "n_shingles")).alias("v")).select("doc_id", "v.*")
     voices = stage(voices, folder, "voices")
-    index = stage(_index(full.join(voices, voices.columns, "left_semi")), folder, "index")
-    index = stage(_peel(index, percent), folder, "peeled")
-    drop(spark, f"{folder}/index")
-    tidy(spark)
+    index = stage(_index(full.join(voices.hint("merge"), voices.columns, "left_semi")), folder, "index")
 
     found = spark.createDataFrame([], LINKS)
     alive = stage(within_reach(index.withColumn("component", F.col("doc_id")), percent), folder, "alive")
-    # The sets of what the lists hold, whole and in order.
-    wanted = voices.join(alive.select("doc_id").distinct(), "doc_id", "left_semi").drop("n_shingles")
-    whole = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_ordered(held, n), ORDERED)
-    whole = whole.join(wanted, wanted.columns, "left_semi").select("doc_id", "elements").dropDuplicates(["doc_id"])
-    elements = stage(whole, folder, "elements")
-    tidy(spark)
+    drop(spark, f"{folder}/index")
+    # The sets of what the lists hold, whole and in order. What grows with the corpus is never broadcast, however small it is.
+    wanted = voices.join(alive.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sig_a", "sig_b")
+    whole = texts.join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"])
+    elements = stage(whole.mapInArrow(_ordered(held, n), ORDERED), folder, "elements")
     for i in range(rounds):
         if alive.isEmpty():
             break
         links = stage(_linked(_one_block_each(alive, i, round_cell), elements, held, percent), folder, f"links_{i}")
-        longest = alive.groupBy("token").count().agg(F.max("count")).first()[0]
-        if links.isEmpty() and longest <= cell:
-            break
         found = found.unionByName(links)
         near = stage(components(found, folder, f"near_{i}"), folder, f"near_map_{i}")
         named = alive.drop("component").join(near, alive.doc_id == near.node, "left")
         named = named.withColumn("component", F.coalesce("component", "doc_id")).select(alive.columns)
         alive = stage(within_reach(named, percent), folder, f"alive_{i}")
-    links = stage(_linked(_blocks(alive, cell), elements, held, percent), folder, "links")
-    tidy(spark)
+        if links.isEmpty() or alive.groupBy("token").count().where(F.col("count") > cell).isEmpty():
+            break
+    heads = elements.select("doc_id", F.size("elements").cast("long").alias("n"), "elements")
+    heads = heads.select("doc_id", "n", F.expr(f"slice(elements, 1, n - ({percent} * n + 99) div 100 + 1 + n div 20)").alias("head"))
+    some = stage(_dealt(_blocks(alive, cell).join(heads.hint("merge"), "doc_id")).mapInArrow(_survive(held, percent), BLOCKS), folder, "some")
+    links = stage(_linked(some, elements, held, percent), folder, "links")
     last = stage(components(found.unionByName(links), folder, "last"), folder, "last_map")
     named = classes.join(last, classes["head"] == last.node, "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "head").alias("component_id"))
     base = sets.select("doc_id", "n_shingles", "sig_a", "sig_b").join(named, ["sig_a", "sig_b", "n_shingles"], "left")
@@ -362,35 +378,44 @@ def near_duplicates(
 
 
 def _index(sets: DataFrame) -> DataFrame:
-    """``token, doc_id, n, pos``: the prefix n-grams that two documents or more hold."""
-    tokens = sets.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token")
-    return tokens.join(shared, "token").select("token", "doc_id", "n", "pos").distinct()
+    """``token, doc_id, n, pos, listed, shared``: the prefix n-grams that two rows or more hold.
 
-
-def _peel(index: DataFrame, percent: int) -> DataFrame:
-    """The index without classes that share too little to link."""
-    rich = index.groupBy("doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_shared(F.col("n"), percent))
-    return index.join(rich.select("doc_id"), "doc_id", "left_semi")
+    ``listed`` is the number of rows that hold the n-gram, ``shared`` the number of such n-grams of the row's document.
+    """
+    tokens = sets.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    shared = sets.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("listed")).where("listed > 1")
+    held = F.collect_list(F.struct("token", "pos", "listed")).alias("held")
+    both = tokens.join(shared.hint("merge"), "token").groupBy("doc_id", "n").agg(held)
+    return both.select("doc_id", "n", F.size("held").alias("shared"), F.explode("held").alias("h")).select("h.token", "doc_id", "n", "h.pos", "h.listed", "shared")
 
 
 def within_reach(named: DataFrame, percent: int) -> DataFrame:
-    """Rows of (token, doc_id, n, pos, component) whose list holds one of another component in reach.
+    """Rows of (token, doc_id, n, pos, listed, shared, component) whose list holds one of another component in reach.
 
     Sets of sizes n and m that meet at places p and q first can link only if
     ``(100 + percent) min(n - p, m - q) >= percent (n + m)``: each one's own bound is the largest size that its
-    partner may have, and both sizes must be within the other's bound. Each list has, by size, the largest bound and the largest
-    bound of another component. Sizes beyond 512 go in steps of a 256th or less, with the least size of a step.
+    partner may have, and both sizes must be within the other's bound. Of the two, the one whose prefix ends first misses
+    no more of the overlap than the elements after its prefix, so both have at least the rest among their shared n-grams;
+    this is asked in short lists. Of a long list each row meets, by size, the largest
+    bound and the largest bound of another component. Sizes beyond 512 go in steps of a 256th or less, with the
+    least size of a step. ``listed`` bounds the length of the list.
     """
-    bound = F.expr(f"({100 + percent} * (n - pos)) div {percent} - n")
+    rows = named.withColumn("bound", F.expr(f"({100 + percent} * (n - pos)) div {percent} - n"))
+    own = F.struct(*[c for c in rows.columns if c != "token"])
+    short = rows.where(F.col("listed") <= SHORT).groupBy("token").agg(F.collect_list(own).alias("list"))
+    least = f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent} - ({percent} * greatest(x.n, y.n) + 99) div 100 + 1"
+    pair = f"y.component <> x.component and y.n <= x.bound and x.n <= y.bound and least(x.shared, y.shared) >= {least}"
+    near = f"filter(list, x -> exists(list, y -> {pair}))"
+    short = short.select("token", F.explode(F.expr(near)).alias("x")).select("token", "x.*").select(named.columns)
+
     unit = F.pow(F.lit(2), F.greatest(F.floor(F.log2("n")) - 8, F.lit(0))).cast("long")
-    rows = named.withColumn("bound", bound).withColumn("size", F.col("n") - F.col("n") % unit)
+    rows = rows.where(F.col("listed") > SHORT).withColumn("size", F.col("n") - F.col("n") % unit)
     top = rows.groupBy("token", "size").agg(F.min("n").alias("least"), F.max(F.struct("bound", "component")).alias("top"))
     other = rows.join(top, ["token", "size"]).where("component <> top.component").groupBy("token", "size").agg(F.max("bound").alias("other"))
     sizes = top.join(other, ["token", "size"], "left").select("token", F.struct("least", "top", F.coalesce("other", F.lit(-1)).alias("other")).alias("s"))
     sizes = sizes.groupBy("token").agg(F.collect_list("s").alias("sizes"))
     in_reach = F.expr("exists(sizes, s -> s.least <= bound and if(s.top.component = component, s.other, s.top.bound) >= n)")
-    return rows.join(sizes, "token").where(in_reach).select(named.columns)
+    return short.unionByName(rows.join(sizes, "token").where(in_reach).select(named.columns))
 
 
 def _parts(cell: int) -> Column:
@@ -421,8 +446,11 @@ def _blocks(alive: DataFrame, cell: int) -> DataFrame:
 
 def _linked(blocks: DataFrame, elements: DataFrame, held, percent: int) -> DataFrame:
     """Links between components within blocks, by prefix trees."""
-    dealt = blocks.join(elements, "doc_id").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_join_block(held, percent), LINKS)
+    return _dealt(blocks.join(elements.hint("merge"), "doc_id")).mapInArrow(_join_block(held, percent), LINKS)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, drop, lists, list_parts, row_bounds, run_hashes, schema, slices, stage, tidy, whole_text, word_hashes, word_spans, workdir
+from .common import U64, buffers, drop, lists, list_parts, row_bounds, run_hashes, schema, slices, stage, whole_text, word_hashes, word_spans, workdir
 
 LENGTH, ANCHOR = 50, 26
 PREPARED = schema("doc_id long, sig long, n_words long, sha string, anchors array<long>")
@@ -205,17 +205,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, wi
     spread = stage(spread, folder, "spread")
     shared = stage(seeds.join(spread, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), folder, "shared")
     drop(spark, f"{folder}/seeds")
-    tidy(spark)
     near = texts.join(shared, "doc_id").select("doc_id", "text", "shared")
     windows = stage(near.mapInArrow(_extend(length, anchor), WINDOWS), folder, "windows")
-    tidy(spark)
     each = windows.select("doc_id", "sig", F.explode(F.arrays_zip("pos", "hash")).alias("w")).select("doc_id", "sig", "w.pos", "w.hash")
     source = each.groupBy("hash").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").select("hash", "source")
     source = stage(source, folder, "source")
     repeated = each.join(source, "hash").where("source < doc_id").groupBy("doc_id", "sig").agg(F.collect_list("pos").alias("places"))
     rest = windows.select("doc_id", "sig", "packed").dropDuplicates(["doc_id", "sig"]).join(repeated, ["doc_id", "sig"])
     cleaned = stage(rest.mapInArrow(_clean(length, with_text), CLEANED), folder, "cleaned")
-    tidy(spark)
     base = prepared.select("doc_id", "sig", "n_words", "sha").join(first, "sha", "left").join(cleaned, ["doc_id", "sig"], "left")
     copy = F.coalesce(F.col("earliest") < F.col("doc_id"), F.lit(False))
     return base.select(

@@ -4,6 +4,7 @@ import inspect
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from duplika.llm import ngram_join
 
@@ -54,11 +55,12 @@ def test_family_against_brute_force(spark, changes, with_base):
         assert got == want
 
 
-def test_reach_keeps_every_pair_and_little_else(spark):
+@pytest.mark.parametrize("listed", [80, 60], ids=["long", "short"])
+def test_reach_keeps_every_pair_and_little_else(spark, listed):
     """A family's far members leave a list, but for those whose partner of another component is in reach."""
     rng = random.Random(3)
     rows = [(t, d, n := rng.randint(40, 60), rng.randint(0, 20), rng.randint(0, 3)) for t in range(6) for d in range(80)]
-    named = spark.createDataFrame(rows, "token long, doc_id long, n long, pos int, component long")
+    named = spark.createDataFrame(rows, "token long, doc_id long, n long, pos int, component long").withColumn("listed", F.lit(listed)).withColumn("shared", F.lit(99))
     kept = {(r.token, r.doc_id) for r in ngram_join.within_reach(named, 75).collect()}
     want = {
         (t, d) for t, d, n, p, c in rows
