@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,9 +53,3 @@ def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished stages that staged tables have replaced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
