@@ -1,10 +1,13 @@
 """Exact deduplication with keyed streaming state.
 
-Rows flow as a stream into a stateful aggregation keyed by digest. Its state lives in RocksDB, on disk, and
+Every row flows with its locator as a stream into a stateful aggregation keyed by digest, in micro-batches of a
+bounded number of files. The state lives in RocksDB, on disk, and
 never expires: for each digest it retains the count, the stable identifier (largest doc_id) and the
-content locator (a row's file and place) of the row that stays. A hit on a digest is only a claim: the
+content locator (a row's file and place) of the row that stays. Tasks of a micro-batch add up their own rows of a digest
+before they are dealt by it, so a hot text does not flood the state's partition. A hit on a digest is only a claim: the
 bytes at the hit's and the keeper's locators are compared in full, and rows whose bytes differ from
-their keeper's are grouped by the whole text instead.
+their keeper's are grouped by the whole text instead. The comparison of a text of many copies is dealt by
+shares of its rows, each beside the keeper's text.
 
 Texts are equal when identical after no change; null counts as empty. Of equal texts the row with the
 largest doc_id stays; of several rows with that doc_id the one with the largest locator; a null doc_id
@@ -30,18 +33,35 @@ _STATE_CONF = {
 }
 
 
+#: Rows of one text whose bytes are compared in one place.
+SHARE = 1 << 12
+
+
 def sha256_text(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _place() -> tuple[Column, Column]:
+    """A row's file and its place there."""
+    return F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")
+
+
+def _from_files(docs: DataFrame) -> bool:
+    """Whether rows of ``docs`` can be told by file and place; a column of the table's own may hide these."""
+    if "_metadata" in (c.lower() for c in docs.columns):
+        return False
+    try:
+        return bool(docs.select(*_place()).columns)
+    except AnalysisException:
+        return False
+
+
 def _located(docs: DataFrame, folder: str) -> DataFrame:
     """Documents with ``file`` and ``place``; a table that does not come from files is written to some first."""
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
-    try:
-        return docs.select(*cols, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    except AnalysisException:
-        held = stage(docs.select(*cols), folder, "located")
-        return held.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    if not _from_files(docs):
+        docs = stage(docs.select(*cols), folder, "located")
+    return docs.select(*cols, *_place())
 
 
 class _Conf:
@@ -61,16 +81,19 @@ class _Conf:
 
 
 class DedupStream:
-    """The keyed state of a folder; later calls of ``add`` go on where the earlier ones stopped."""
+    """The keyed state of a folder; later calls of ``add`` go on where the earlier ones stopped.
+
+    ``batch_files`` bounds the log's files in a micro-batch.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, batch_files: int = 1_000):
+        self.spark, self.folder, self.batch_files = spark, folder, batch_files
         self.log, self.checkpoint = f"{folder}/log", f"{folder}/state"
 
     def add(self, arrivals: DataFrame) -> None:
         """Append rows (digest, keeper, n) to the log and run the stream up to its end."""
         arrivals.write.mode("append").parquet(self.log)
-        stream = self.spark.readStream.schema(arrivals.schema).parquet(self.log)
+        stream = self.spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", self.batch_files).parquet(self.log)
         state = stream.groupBy("digest").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
         with _Conf(self.spark, _STATE_CONF):
             (
@@ -89,7 +112,6 @@ class DedupStream:
 
 
 
-
 def dedup_groups(docs: DataFrame, digest=sha256_text, folder: str | None = None) -> DataFrame:
     """Each row with the row of its group that stays.
 
@@ -101,8 +123,7 @@ def dedup_groups(docs: DataFrame, digest=sha256_text, folder: str | None = None)
     slim = located.select("doc_id", "file", "place", digest(F.col("text")).alias("digest"))
     keeper = F.struct("doc_id", "file", "place").alias("keeper")
     stream = DedupStream(spark, folder)
-    # Each task hands the stream one row a digest: a hot text does not flood the state's partition.
-    stream.add(slim.groupBy("digest").agg(F.max(keeper).alias("keeper"), F.count("*").alias("n")))
+    stream.add(slim.select("digest", keeper, F.lit(1).cast("long").alias("n")))
     state = stage(stream.state(), folder, "seen")
     drop(spark, stream.log)
     claims = slim.join(state, "digest").select(
@@ -110,14 +131,14 @@ def dedup_groups(docs: DataFrame, digest=sha256_text, folder: str | None = None)
         F.col("keeper.place").alias("keep_place"), F.col("n").alias("group_size"),
     )
     # Hits: the bytes at both locators. Only texts of digests seen more than once are moved.
-    again = state.where("n > 1")
-    texts = stage(located.withColumn("digest", digest(F.col("text"))).join(again.select("digest", "keeper"), "digest"), folder, "hits")
+    again = state.where("n > 1").select("digest", "keeper", F.ceil(F.col("n") / SHARE).alias("shares"))
+    texts = stage(located.withColumn("digest", digest(F.col("text"))).join(again, "digest"), folder, "hits")
     is_keeper = (F.col("place") == F.col("keeper.place")) & (F.col("file") == F.col("keeper.file"))
-    keepers = texts.where(is_keeper).select("digest", F.col("text").alias("keep_text"))
-    wrong = stage(
-        texts.where(~is_keeper).join(keepers, "digest").where(F.col("text") != F.col("keep_text")).select("doc_id", "file", "place", "digest"),
-        folder, "wrong",
-    )
+    share = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")
+    keepers = texts.where(is_keeper).select("digest", F.col("text").alias("keep_text"), share)
+    hits = texts.where(~is_keeper).withColumn("share", F.pmod(F.xxhash64("file", "place"), F.col("shares")))
+    differ = hits.join(keepers, ["digest", "share"]).where(F.col("text") != F.col("keep_text"))
+    wrong = stage(differ.select("doc_id", "file", "place", "digest"), folder, "wrong")
     bad = wrong.select("digest").distinct()
     # Collisions of the digest: the whole text is the key among the digests concerned.
     if wrong.isEmpty():
@@ -135,15 +156,13 @@ def dedup_groups(docs: DataFrame, digest=sha256_text, folder: str | None = None)
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns."""
-    folder, names = workdir(docs.sparkSession), docs.columns
-    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")]
-    try:
-        docs.select(*place)
-    except AnalysisException:
-        docs = stage(docs, folder, "rows")
-    groups = dedup_groups(docs, folder=folder).where("kept").select(F.col("file").alias("_file"), F.col("place").alias("_place"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), *place)
-    return rows.join(groups, ["_file", "_place"], "left_semi").select("_row.*")
+    folder = workdir(docs.sparkSession)
+    row, own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), [F.col("doc_id"), F.col("text")]
+    if not _from_files(docs):
+        docs = stage(docs.select(row, *own), folder, "rows")
+        row = F.col("row")
+    groups = dedup_groups(docs, folder=folder).where("kept").select("file", "place")
+    return docs.select(row, *_place()).join(groups, ["file", "place"], "left_semi").select("row.*")
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:

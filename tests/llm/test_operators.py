@@ -129,12 +129,13 @@ def test_exact_dedup(docs, digest):
 
 
 def test_exact_dedup_goes_on(spark, docs, none):
+    """Hits meet the state in later micro-batches and in later calls."""
     from duplika.staging import workdir
 
-    state = exact_dedup.DedupStream(spark, workdir(spark))
+    state = exact_dedup.DedupStream(spark, workdir(spark), batch_files=1)
     keeper = F.struct(F.col("doc_id"), F.lit("f").alias("file"), F.lit(0).cast("long").alias("place")).alias("keeper")
     rows = docs.where("doc_id is not null").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), keeper, F.lit(1).cast("long").alias("n"))
-    state.add(rows.where("keeper.doc_id < 10"))
+    state.add(rows.where("keeper.doc_id < 10").repartition(2))
     state.add(rows.where("keeper.doc_id >= 10"))
     held = {r.digest: (r.n, r.keeper.doc_id) for r in state.state().collect()}
     by = groups([r for r in ROWS if r[0] is not None])
@@ -144,6 +145,32 @@ def test_exact_dedup_goes_on(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(groups(ROWS))
 
 
+def test_exact_dedup_streams_every_row(docs, monkeypatch):
+    """What goes into the stream is each row with its locator, a hot text's rows too; their bytes are compared by shares."""
+    seen = []
+    add = exact_dedup.DedupStream.add
+
+    def count(self, arrivals):
+        seen.append(arrivals.agg(F.sum("n"), F.count("*")).first())
+        add(self, arrivals)
+
+    monkeypatch.setattr(exact_dedup.DedupStream, "add", count)
+    monkeypatch.setattr(exact_dedup, "SHARE", 2)
+    got = exact_dedup.dedup_groups(docs).collect()
+    assert [tuple(r) for r in seen] == [(len(ROWS), len(ROWS))]
+    assert sum(r.kept for r in got) == len(groups(ROWS))
+
+
+def test_exact_dedup_names_that_clash(spark, tmp_path):
+    rows = [(1, "a", "x", 1, 2), (2, "a", "y", 1, 2), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _metadata string, `a.b` int, place int")
+    docs.write.parquet(f"{tmp_path}/t.parquet")
+    for table in (docs, spark.read.parquet(f"file://{tmp_path}/t.parquet"), docs.drop("_metadata")):
+        kept = exact_dedup.dedup(table)
+        assert kept.columns == table.columns
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2]
+
+
 # --- op 3 --------------------------------------------------------------------------
 
 
