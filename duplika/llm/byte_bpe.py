@@ -3,7 +3,8 @@
 Pieces (matches of the split pattern) new to a worker are bucketed by length and padded into matrices of
 token ids, one piece a row. In every round each row merges its leftmost pair of minimum rank: pairs
 are looked up in an open-addressing hash table of (left id, right id), then the row is compacted. Rows
-without a known pair leave the matrix.
+without a known pair leave the matrix. A matrix row costs its width in every round, so a piece beyond ``LONG`` bytes (one
+word or run of signs) is merged in the same order on a linked list with a heap of its pairs instead.
 
 Cases: null counts as empty; an empty text has no ids and decodes to the empty text; a piece of any
 length goes through the same rounds; repeated rows are encoded apiece; other columns are not read.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ ENCODED = schema("doc_id long, ids array<int>")
 ROUND_TRIP = schema("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 #: Pieces kept by a worker's memo; beyond it the memo starts anew.
 MEMO_PIECES = 400_000
+#: Bytes of a piece beyond which a row of a matrix would be quadratic in its length.
+LONG = 2048
 _NONE = np.int32(2**31 - 1)
 #: Cells of a padded matrix.
 _CELLS = 1 << 20
@@ -132,6 +136,38 @@ class ByteBPE:
             done_size[rows] = size
         return done_ids, done_size
 
+    def merge_long(self, ids: np.ndarray) -> np.ndarray:
+        """Merge one long piece, leftmost pair of minimum rank first, on a linked list."""
+        ids = ids.astype(np.int64)
+        rank = self.pairs.get(ids[:-1], ids[1:])
+        held, known = ids.tolist(), np.flatnonzero(rank != _NONE)
+        ahead, back = list(range(1, len(held) + 1)), list(range(-1, len(held) - 1))
+        heap = list(zip(rank[known].tolist(), known.tolist(), ids[known].tolist(), ids[known + 1].tolist(), strict=True))
+        heapq.heapify(heap)
+        memo: dict[tuple[int, int], int] = {}
+
+        def push(at: int) -> None:
+            pair = held[at], held[ahead[at]]
+            if pair not in memo:
+                memo[pair] = int(self.pairs.get(np.array(pair[:1]), np.array(pair[1:]))[0])
+            if memo[pair] != _NONE:
+                heapq.heappush(heap, (memo[pair], at, *pair))
+
+        end = len(held)
+        while heap:
+            merged, at, left, right = heapq.heappop(heap)
+            after = ahead[at]
+            if held[at] != left or after >= end or held[after] != right:
+                continue  # one of the two has gone into another token
+            held[at], held[after] = merged, -1
+            ahead[at] = ahead[after]
+            if ahead[at] < end:
+                back[ahead[at]] = at
+                push(at)
+            if back[at] >= 0:
+                push(back[at])
+        return np.array([x for x in held if x >= 0], np.int32)
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all pieces and each piece's offsets."""
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -140,7 +176,12 @@ class ByteBPE:
         order = np.argsort(length, kind="stable")
         sizes = np.zeros(len(pieces), np.int64)
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        at = 0
+        at, short = 0, int(np.searchsorted(length[order], LONG, "right"))
+        for i in order[short:].tolist():
+            own = self.merge_long(self.single[raw[begin[i] : begin[i] + length[i]]])
+            sizes[i] = own.size
+            parts.append((np.array([i]), np.array([own.size]), own))
+        order = order[:short]
         while at < order.size:
             end = at + 1
             width = int(length[order[at]])
