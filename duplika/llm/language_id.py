@@ -23,6 +23,8 @@ from .common import bound_batches, id_class, schema, slices, whole_text
 
 UND = "und"
 _SYMBOLS = 64
+#: Trigrams counted at once.
+_TRIGRAMS = 1024
 SCORED = schema("doc_id long, held_out boolean, lang_pred string, score double, cosine double")
 
 
@@ -59,12 +61,16 @@ def text_vectors(texts: list[str | None], dims: int, seed: int) -> tuple[np.ndar
     used, at = np.unique(code, return_inverse=True)
     first, mid, last = _letters(dims, seed)
     out = np.zeros((len(low), dims), np.float32)
-    counts = np.bincount(row[middle] * max(1, used.size) + at, minlength=len(low) * used.size)
-    counts = counts.reshape(len(low), used.size).astype(np.float32)
-    for a in range(0, used.size, 1024):
-        u = used[a : a + 1024]
+    # Counts by text for some trigrams at a time: texts of many scripts hold many trigrams, each in few texts.
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], row[middle][order]
+    for a in range(0, used.size, _TRIGRAMS):
+        u = used[a : a + _TRIGRAMS]
+        here = slice(*np.searchsorted(at, (a, a + u.size)))
+        rows, place = np.unique(of[here], return_inverse=True)
+        counts = np.bincount(place * u.size + at[here] - a, minlength=rows.size * u.size).reshape(rows.size, u.size)
         vectors = first[u // _SYMBOLS**2] * mid[u // _SYMBOLS % _SYMBOLS] * last[u % _SYMBOLS]
-        out += counts[:, a : a + 1024] @ vectors.astype(np.float32)
+        out[rows] += counts.astype(np.float32) @ vectors.astype(np.float32)
     return out, np.bincount(row[middle], minlength=len(low)) > 0
 
 
