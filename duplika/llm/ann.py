@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_parts, schema, stage, workdir
+from .common import drop, list_parts, schema, stage, workdir
 
 FOUND = schema("query_id long, vec_id long, score double")
 INDEXED = schema("vec_id long, codes binary, vector array<double>")
@@ -109,6 +109,8 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled by the largest component first, so that no square is lost or overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -162,7 +164,6 @@ def _scan(held, k: int, candidates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries, book = held.value
         queries = _unit(queries)
-        tables = byte_tables(queries, book["centroids"])
         best_score = np.full((len(queries), k), -np.inf)
         best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
         for batch in batches:
@@ -176,7 +177,8 @@ def _scan(held, k: int, candidates: int):
                 for a in range(0, len(queries), 256):
                     b = min(a + 256, len(queries))
                     score = np.zeros((b - a, len(ids)), np.float32)
-                    for table, code in zip(tables[:, a:b], codes, strict=True):
+                    # Tables of some queries at a time: those of a whole block would take hundreds of MB.
+                    for table, code in zip(byte_tables(queries[a:b], book["centroids"]), codes, strict=True):
                         score += table[:, code]
                     score[query_ids[a:b, None] == ids[None, :]] = -np.inf
                     place = _top(score, candidates)
@@ -197,14 +199,15 @@ def _scan(held, k: int, candidates: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = 80, query_block: int = 1024) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = 80, query_block: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each row where ``is_query`` holds.
 
     Queries go in blocks of about ``query_block``, each block against every indexed row. ``candidates`` rows of
     every slice of 4,096 rows are scored exactly.
     """
     spark = vectors.sparkSession
-    folder = workdir(spark)
+    home = workdir(spark)
+    folder = f"{home}/work"
     indexed, book = build_index(vectors)
     if book is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -214,7 +217,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = 8
     found = None
     for i in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i) if blocks > 1 else asked
-        got = mine.orderBy("vec_id").toArrow()  # one block: about query_block rows, whatever the table
+        got = mine.orderBy("vec_id").toArrow()  # one block: about query_block rows, a few MB, whatever the table
         if not got.num_rows:
             continue
         queries = _matrix(got.column("vector").combine_chunks(), book["dims"])
@@ -224,7 +227,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = 8
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = stage(found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), home, "nearest")
+    drop(spark, folder)
+    return out
 
 
 def ann_query(embeddings: DataFrame) -> DataFrame:

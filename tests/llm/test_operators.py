@@ -422,3 +422,12 @@ def test_ann(spark):
     assert [v for v, _ in got[50]] == [100, 101, 102, 103, 104]
     assert ann.ann_query(df.where("vec_id < 0")).count() == 0
     assert ann.ann_query(df.where("vec_id < 3")).count() == 2
+
+
+def test_ann_of_tiny_and_huge_components(spark):
+    rows = [(0, [1e-200, 2e-200, 0.0]), (1, [1e200, 2e200, 0.0]), (2, [5e-324, 0.0, 0.0]), (3, [1e308, 1e308, 1e308]), (50, [0.0, 0.0, 1.0]), (4, [1.0, 2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.ann_query(df).orderBy("query_id", "rank").collect()]
+    assert [v for q, _, v, _ in got if q == 0] == [1, 4, 3, 2, 50]
+    assert [s for q, _, _, s in got if q == 0] == [1.0, 1.0, round(3 / 15**0.5, 9), round(1 / 5**0.5, 9), 0.0]
+    assert [(v, s) for q, _, v, s in got if q == 50] == [(3, round(1 / 3**0.5, 9)), (0, 0.0), (1, 0.0), (2, 0.0), (4, 0.0)]
