@@ -23,8 +23,8 @@ from .common import bound_batches, id_class, schema, slices, whole_text
 
 UND = "und"
 _SYMBOLS = 64
-#: Trigrams counted at once.
-_TRIGRAMS = 1024
+#: Trigrams taken at once, and cells of a table of counts by text.
+_TRIGRAMS, _CELLS = 1024, 1 << 23
 SCORED = schema("doc_id long, held_out boolean, lang_pred string, score double, cosine double")
 
 
@@ -61,17 +61,26 @@ def text_vectors(texts: list[str | None], dims: int, seed: int) -> tuple[np.ndar
     used, at = np.unique(code, return_inverse=True)
     first, mid, last = _letters(dims, seed)
     out = np.zeros((len(low), dims), np.float32)
-    # Counts by text for some trigrams at a time: texts of many scripts hold many trigrams, each in few texts.
-    order = np.argsort(at, kind="stable")
-    at, of = at[order], row[middle][order]
-    for a in range(0, used.size, _TRIGRAMS):
-        u = used[a : a + _TRIGRAMS]
-        here = slice(*np.searchsorted(at, (a, a + u.size)))
-        rows, place = np.unique(of[here], return_inverse=True)
-        counts = np.bincount(place * u.size + at[here] - a, minlength=rows.size * u.size).reshape(rows.size, u.size)
-        vectors = first[u // _SYMBOLS**2] * mid[u // _SYMBOLS % _SYMBOLS] * last[u % _SYMBOLS]
-        out[rows] += counts.astype(np.float32) @ vectors.astype(np.float32)
-    return out, np.bincount(row[middle], minlength=len(low)) > 0
+    here = row[middle]
+    lettered = np.bincount(here, minlength=len(low)) > 0
+    step = used.size
+    if len(low) * used.size > _CELLS:
+        # Texts of many scripts hold many trigrams, each in few texts: counts of some trigrams at a time.
+        order = np.argsort(at, kind="stable")
+        at, here, step = at[order], here[order], _TRIGRAMS
+    for a in range(0, used.size, step):
+        u, rows, own, of = used[a : a + step], slice(None), at, here
+        if step < used.size:
+            some = slice(*np.searchsorted(at, (a, a + u.size)))
+            rows, of = np.unique(here[some], return_inverse=True)
+            own = at[some] - a
+        n = len(low) if step == used.size else rows.size
+        counts = np.bincount(of * u.size + own, minlength=n * u.size).reshape(n, u.size).astype(np.float32)
+        for c in range(0, u.size, _TRIGRAMS):
+            part = u[c : c + _TRIGRAMS]
+            vectors = first[part // _SYMBOLS**2] * mid[part // _SYMBOLS % _SYMBOLS] * last[part % _SYMBOLS]
+            out[rows] += counts[:, c : c + _TRIGRAMS] @ vectors.astype(np.float32)
+    return out, lettered
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

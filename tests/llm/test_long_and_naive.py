@@ -50,7 +50,8 @@ def naive_bundle(text: str, dims: int, seed: int) -> np.ndarray:
     return out
 
 
-def test_language_against_a_naive_scorer(spark, monkeypatch):
+@pytest.mark.parametrize("cells", [1 << 23, 1000])
+def test_language_against_a_naive_scorer(spark, monkeypatch, cells):
     """Profiles, winners and scores of the query, by loops over letters; ties and scripts of many letters too."""
     rng = random.Random(8)
     kinds = {"aa": "the and of to in that with for".split(), "bb": "der und die ist nicht mit für größe".split(), "cc": "и в не на я быть он с что".split()}
@@ -60,6 +61,7 @@ def test_language_against_a_naive_scorer(spark, monkeypatch):
         rows.append((i, " ".join(rng.choices(kinds[lang], k=rng.randint(1, 12))), lang if i % 7 else None))
     rows += [(80, "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(4000)), None), (81, None, "aa"), (82, "1 2", "bb"), (83, "Q", None)]
     monkeypatch.setattr(language_id, "_TRIGRAMS", 50)
+    monkeypatch.setattr(language_id, "_CELLS", cells)
     vectors = {d: naive_bundle(t or "", 1024, 11) for d, t, _ in rows}
     unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
     learned = {}
