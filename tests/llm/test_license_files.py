@@ -1,0 +1,82 @@
+"""Licence files as they are found: titles, copyright statements, widths, spellings."""
+
+import os
+import textwrap
+
+import duckdb
+import pyarrow as pa
+import pytest
+
+from duplika.llm import licenses
+from duplika.llm.license_texts import DIGESTS, KNOWN, TEXTS
+
+from .test_operators import frame
+
+_FILES = "/usr/share/common-licenses"
+
+
+def wrapped(text: str, width: int) -> str:
+    """Paragraphs filled anew; lines with a copyright statement stay lines."""
+    out = []
+    for paragraph in text.split("\n\n"):
+        lines, held = [], []
+        for line in [*paragraph.split("\n"), None]:
+            if line is None or line.strip().lower().startswith(("copyright (c)", "copyright [", "copyright <")):
+                lines += textwrap.wrap(" ".join(held), width)
+                held = []
+                lines += [line] if line is not None else []
+            else:
+                held.append(line)
+        out.append("\n".join(lines))
+    return "\n\n".join(out)
+
+
+def variants():
+    for name, text in TEXTS:
+        if name.endswith("-line"):
+            continue
+        for width in (50, 72, 100, 10_000):
+            yield name, f"Copyright (c) 2011, Some One <a@b.c>\nAll rights reserved.\n\n{wrapped(text, width)}\n"
+        yield name, "\n".join(f" * {line}" for line in wrapped(text, 70).split("\n"))
+    mit = dict(TEXTS)["MIT"]
+    yield "MIT", f"MIT License\n\nCopyright © 2020-2024 Someone\n\n{mit}"
+    yield "MIT", f"The MIT License (MIT)\n=====================\n\nCopyright 2019 x\n\n{mit.upper()}"
+    yield None, mit + "\nand one more condition"
+    yield None, "MIT License"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    for file, name in files.items():
+        if os.path.exists(f"{_FILES}/{file}"):
+            with open(f"{_FILES}/{file}") as f:
+                text = f.read()
+            yield name, text
+            yield name, text.replace("\n", "\r\n").replace("license", "licence")
+            if name in ("Apache-2.0", "MPL-2.0", "CC0-1.0"):
+                yield name, wrapped(text, 60)
+
+
+def test_files(spark):
+    rows = list(enumerate(variants()))
+    docs = frame(spark, [(i, t) for i, (_, t) in rows])
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert [got[i] for i, _ in rows] == [n for _, (n, _) in rows]
+
+
+def test_body_lines_that_begin_with_copyright_stay(spark):
+    text = dict(TEXTS)["BSD-2-Clause"]
+    broken = text.replace("above copyright notice, this list", "above\ncopyright notice, this list").replace("THE COPYRIGHT HOLDER", "THE\nCOPYRIGHT HOLDER")
+    got = licenses.scan(frame(spark, [(1, broken), (1, broken), (None, broken), (2, f"x\n{dict(TEXTS)['MIT-line']}\n(c) 2000 y\n{dict(TEXTS)['MIT-line']}")])).collect()
+    assert sorted((r.license or "", r.n_license_lines, r.line_licenses) for r in got) == [("", 2, "MIT-line"), *[("BSD-2-Clause", 0, "")] * 3]
+
+
+@pytest.mark.parametrize("known", [KNOWN, []], ids=["known", "none"])
+def test_against_the_sql(spark, known):
+    rows = [(i, t) for i, (_, t) in enumerate(variants())][::5] + [(900, None), (901, ""), (902, "Copyright 2020"), (903, "a\n\nReleased under the MIT Licence\n")]
+    digests = DIGESTS if known else []
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [d for d, _ in rows], "text": pa.array([t for _, t in rows], pa.string())}))
+    if known:
+        want = sorted(con.execute(licenses.scan_sql(known, digests)).fetchall())
+        docs = frame(spark, rows)
+        assert sorted(tuple(r) for r in licenses.scan(docs, known, digests).collect()) == want
+    else:
+        assert {r.license for r in licenses.scan(frame(spark, rows), [("x", "...")], ()).collect()} == {None}
