@@ -63,7 +63,7 @@ def text_vectors(texts: list[str | None], dims: int, seed: int) -> tuple[np.ndar
     out = np.zeros((len(low), dims), np.float32)
     here = row[middle]
     lettered = np.bincount(here, minlength=len(low)) > 0
-    step = used.size
+    step = max(1, used.size)
     if len(low) * used.size > _CELLS:
         # Texts of many scripts hold many trigrams, each in few texts: counts of some trigrams at a time.
         order = np.argsort(at, kind="stable")
@@ -166,14 +166,17 @@ def keep_known(docs: DataFrame, profiles: dict, min_score: float = 0.3, sharpnes
     """
     held = docs.sparkSession.sparkContext.broadcast(profiles)
     bound_batches(docs.sparkSession)
+    # Names of any kind travel as numbers.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 19):
-            vectors, lettered = text_vectors(batch.column("text").to_pylist(), held.value["dims"], held.value["seed"])
+        for batch in slices(batches, text, 1 << 19):
+            vectors, lettered = text_vectors(batch.column(text).to_pylist(), held.value["dims"], held.value["seed"])
             if held.value["langs"]:
                 cosine = _unit(vectors) @ held.value["vectors"].T
                 share = 1 / np.exp(sharpness * (cosine - cosine.max(axis=1, keepdims=True))).sum(axis=1)
                 lettered = lettered & (share >= min_score)
             yield batch.filter(pa.array(lettered))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -232,10 +232,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """
     found = find_repeats(docs, length, anchor, with_text=True).where("n_removed > 0")
     # A row is known by its id and the digest of its own text's words.
-    keyed = docs.withColumn("__sig", _sig(docs))
-    changed = found.select(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig"), F.col("kept_text").alias("__kept")).dropDuplicates(["__id", "__sig"])
-    out = keyed.join(changed, (keyed.doc_id == changed["__id"]) & (keyed["__sig"] == changed["__sig"]), "left")
-    return out.select(*[F.when(F.col("__id").isNotNull(), F.col("__kept")).otherwise(docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _sig(docs).alias("sig"))
+    changed = found.select(F.col("doc_id").alias("id"), "sig", F.struct("kept_text").alias("kept")).dropDuplicates(["id", "sig"])
+    own = F.col("row")
+    text = F.when(F.col("kept").isNotNull(), F.col("kept.kept_text")).otherwise(own.getField("text")).alias("text")
+    out = rows.join(changed, ["id", "sig"], "left")
+    return out.select(*[text if c == "text" else own.getField(c).alias(c) for c in docs.columns])
 
 
 def _sig(docs: DataFrame):

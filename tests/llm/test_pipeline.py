@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql.functions import lit
+
 from duplika.llm.common import stage, workdir
 
 from .test_operators import removed, shingle_set
@@ -53,9 +55,65 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == set(state)
 
 
+def expected(docs):
+    """The pipeline's rows before packing, by brute force on whole texts: {doc_id: text}."""
+    state = {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    last = {t: d for d, t in sorted(state.items())}
+    state = {d: t for t, d in last.items()}
+    sets, root = {d: shingle_set(t) for d, t in state.items()}, {}
+    for d in sorted(sets):
+        root[d] = d
+        for e in [e for e in sorted(sets) if e < d and 100 * len(sets[d] & sets[e]) >= 75 * len(sets[d] | sets[e])]:
+            low, high = sorted((root[d], root[e]))
+            root = {k: low if v == high else v for k, v in root.items()}
+    state = {d: t for d, t in state.items() if root[d] == d}
+    return {d: k if g else t for d, t, _, g, k in removed(list(state.items()))}
+
+
 def test_run(spark, tmp_path):
-    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 15
+    """Every row of the whole pipeline: pieces, digests and places, against brute force and the library's ids."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from duplika.llm.queries import WORD_BPE
+
+    docs = documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokens, want = Tokenizer.from_file(WORD_BPE), set()
+    for d, t in expected(docs).items():
+        ids = [*tokens.encode(t or "", add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 4096):
+            part = ids[at : at + 4096]
+            want.add((d, at // 4096, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+    rooms = {}
+    for r in got:
+        rooms.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in rooms.values():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 4096
+    assert len(rooms) == -(-sum(r.length for r in got) // 4096)
+
+
+def test_stages_carry_clashing_names_and_nulls(spark):
+    """Columns of any name come through each stage; null ids, null texts and repeated rows crash none."""
+    base = documents(spark)
+    more = [(None, None, None, None, None), (None, "a text without an id", "en", "s", 1), (2, "of an id that others have", "en", "s", 1), (2, "of an id that others have", "en", "s", 1)]
+    docs = base.unionByName(spark.createDataFrame(more, base.schema))
+    for name in ("a.b", "__sig", "__id", "_metadata", "row", "id", "sig", "kept", "file", "place", "share", "token", "component"):
+        docs = docs.withColumn(name.replace(".", "_") if name == "a.b" else name, lit(name))
+    docs = docs.withColumnRenamed("a_b", "a.b")
+    folder, columns = workdir(spark), docs.columns
+    docs = stage(docs, folder, "documents")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = stage(step(spark, docs, ""), folder, name)
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows and all(r["a.b"] == "a.b" and r["row"] == "row" and r["_metadata"] == "_metadata" for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(rows)
 
 
 def test_run_on_nothing(spark, tmp_path):
