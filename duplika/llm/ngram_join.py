@@ -11,8 +11,9 @@ with enough in common share an n-gram among the first ``n - ceil(t n) + 1`` of e
    still comes from there on. A class stays in a list only if one of another component there, of some size, can
    reach the overlap needed by that bound (``within_reach``). Lists of at most ``SHORT`` classes are looked at whole; of longer
    ones the bounds are aggregated by size, so a long list is never gathered.
-4. In a few rounds each class goes to one block of its longest list, with the class that has the n-gram earliest as a
-   guest of all blocks of the list. Families of near copies contract to one component, and step 3 is repeated.
+4. In a round each class goes to one block of its longest list, with the class that has the n-gram earliest as a
+   guest of all blocks of the list. Families of near copies contract to one component, and step 3 is repeated. Lists that
+   are still beyond a block's size then have a few rounds more.
 5. Then each list is a block; lists of the same classes are one, and lists beyond the bounded size of a block are dealt to
    a triangle of blocks, the exact way for families that are dense and yet not linked. Trees of the sets' beginnings tell
    which sets may link in a block, and only these come whole.
@@ -236,12 +237,12 @@ class _Union:
         self.parent[max(a, b)] = min(a, b)
 
 
-def _ranked(sets: list[np.ndarray], order_key) -> tuple[list[np.ndarray], int]:
-    """Sets as ranks in the global order among the block's elements."""
+def _ranked(sets: list[np.ndarray], order_key) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sets as ranks in the global order among the block's elements, and these elements."""
     every = order_key(np.concatenate(sets))
     by_value = np.argsort(every)
     held = every[by_value]
-    return [np.sort(by_value[np.searchsorted(held, s)]) for s in sets], every.size
+    return [np.sort(by_value[np.searchsorted(held, s)]) for s in sets], every
 
 
 def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], order_key, percent: int) -> list[tuple[int, int]]:
@@ -249,8 +250,8 @@ def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray],
     apart = np.unique(component).size
     if apart < 2:
         return []
-    ranks, size = _ranked(sets, order_key)
-    tree, member, union, links = PrefixTree(ranks, np.array([r.size for r in ranks])), np.zeros(size, bool), _Union(), []
+    ranks, every = _ranked(sets, order_key)
+    tree, member, union, links = PrefixTree(ranks, np.array([r.size for r in ranks])), np.zeros(every.size, bool), _Union(), []
     for i, own in enumerate(ranks):
         member[own] = True
         for j in tree.probe(member, own, own.size, percent):
@@ -289,15 +290,20 @@ def _lists_of(table: pa.Table, column: str, kind) -> list[np.ndarray]:
     return [flat[a:b].view(kind) for a, b in zip(edge.tolist(), edge[1:].tolist())]
 
 
-def may_link(component: np.ndarray, n: np.ndarray, heads: list[np.ndarray], order_key, percent: int) -> np.ndarray:
-    """Which sets of a block, given by their beginnings, may link with one of another component there."""
+def may_link(component: np.ndarray, n: np.ndarray, heads: list[np.ndarray], order_key, percent: int, mask: int) -> np.ndarray:
+    """Which sets of a block, given by their beginnings, may link with one of another component there.
+
+    A pair that several blocks hold is left to the one with the list of its first common n-gram; ``mask`` has the
+    bits of the n-grams whose lists the block stands for.
+    """
     found = np.zeros(n.size, bool)
-    ranks, size = _ranked(heads, order_key)
-    tree, member = PrefixTree(ranks, n), np.zeros(size, bool)
+    ranks, every = _ranked(heads, order_key)
+    bit = (U64(mask) >> (every & U64(63))) & U64(1) != 0
+    tree, member = PrefixTree(ranks, n), np.zeros(every.size, bool)
     for i, own in enumerate(ranks):
         member[own] = True
         for j in tree.probe(member, own, int(n[i]), percent):
-            if component[i] != component[j]:
+            if component[i] != component[j] and bit[ranks[j][member[ranks[j]].argmax()]]:
                 found[i] = found[j] = True
         member[own] = False
     return found
@@ -307,7 +313,8 @@ def _survive(held, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
             heads = _lists_of(cell, "head", U64)
-            alive = may_link(cell.column("component").to_numpy(), cell.column("n").to_numpy(), heads, lambda x: in_order(x, held.value), percent)
+            mask = cell.column("mask")[0].as_py() & (1 << 64) - 1
+            alive = may_link(cell.column("component").to_numpy(), cell.column("n").to_numpy(), heads, lambda x: in_order(x, held.value), percent, mask)
             if alive.any():
                 yield from cell.filter(pa.array(alive)).select(BLOCKS.names).combine_chunks().to_batches()
 
@@ -356,13 +363,17 @@ def near_duplicates(
     for i in range(rounds):
         if alive.isEmpty():
             break
-        links = stage(_linked(_one_block_each(alive, i, round_cell), elements, held, percent), folder, f"links_{i}")
+        todo = alive.join(long, "token", "left_semi") if i else alive
+        links = stage(_linked(_one_block_each(todo, i, round_cell), elements, held, percent), folder, f"links_{i}")
+        if links.isEmpty():
+            break
         found = found.unionByName(links)
         near = stage(components(found, folder, f"near_{i}"), folder, f"near_map_{i}")
         named = alive.drop("component").join(near, alive.doc_id == near.node, "left")
         named = named.withColumn("component", F.coalesce("component", "doc_id")).select(alive.columns)
         alive = stage(within_reach(named, percent), folder, f"alive_{i}")
-        if links.isEmpty() or alive.groupBy("token").count().where(F.col("count") > cell).isEmpty():
+        long = stage(alive.groupBy("token").count().where(F.col("count") > cell).select("token"), folder, f"long_{i}")
+        if long.isEmpty():
             break
     heads = elements.select("doc_id", F.size("elements").cast("long").alias("n"), "elements")
     heads = heads.select("doc_id", "n", F.expr(f"slice(elements, 1, n - ({percent} * n + 99) div 100 + 1 + n div 20)").alias("head"))
@@ -434,13 +445,17 @@ def _one_block_each(alive: DataFrame, seed: int, cell: int) -> DataFrame:
 
 
 def _blocks(alive: DataFrame, cell: int) -> DataFrame:
-    """``token, i, j, doc_id, component``: every list as a block; a list beyond a block's size as blocks of two parts each."""
+    """``token, i, j, doc_id, component, mask``: every list as a block; a list beyond a block's size as blocks of two parts each.
+
+    Lists of the same classes are one block; ``mask`` has a bit of 64 for each of their n-grams.
+    """
     size = alive.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("grams"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("same"))
-    once = size.groupBy("same", "m", "grams").agg(F.min("token").alias("token")).select("token", _parts(cell).alias("parts"))
+    mask = F.bit_or(F.expr("shiftleft(1L, cast(token & 63 as int))")).alias("mask")
+    once = size.groupBy("same", "m", "grams").agg(F.min("token").alias("token"), mask).select("token", "mask", _parts(cell).alias("parts"))
     rows = alive.join(once, "token").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    small = rows.where("parts = 1").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "component")
+    small = rows.where("parts = 1").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), "doc_id", "component", "mask")
     long = rows.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    long = long.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component")
+    long = long.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component", "mask")
     return small.unionByName(long)
 
 
