@@ -4,7 +4,8 @@ The tokenizer drops white space, lower-cases and cuts text into runs of letters,
 of other signs before it merges; no merge crosses runs. So a text's ids are those of its runs in order,
 and each distinct run goes to the library's merge model once. The cut is made on the bytes of many
 texts at once. A word with any sign beyond ASCII and Latin-1 letters, or with an apostrophe or a control
-character, is not cut here: it goes to the library whole.
+character, is not cut here: it goes to the library whole, and so does a text that holds the content of
+one of the vocabulary's own added tokens, which the library gives the token's id.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import buffers
 
@@ -82,7 +84,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self._reset()
@@ -130,7 +132,11 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another and each text's offsets; ``end_id`` closes each text."""
-        raw, edges = buffers(texts)
+        whole = np.zeros(len(texts), bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).fill_null(False).to_numpy(zero_copy_only=False)
+        rest = pc.if_else(pa.array(~whole), texts, pa.scalar("", texts.type)) if whole.any() else texts
+        raw, edges = buffers(rest)
         data, runs, edges = cut_runs(raw, edges)
         held = pa.StringArray.from_buffers(runs.size - 1, pa.py_buffer(runs.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
         coded = held.dictionary_encode()
@@ -147,6 +153,11 @@ class WordEncoder:
         np.cumsum(size, out=total[1:])
         flat = self.ids[np.arange(int(total[-1])) + np.repeat(self.begin[code] - total[:-1], size)]
         offsets = total[edges]
+        if whole.any():
+            each = np.split(flat, offsets[1:-1])
+            for i in np.flatnonzero(whole).tolist():
+                each[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32)
+            flat, offsets = np.concatenate(each), np.cumsum([0, *(x.size for x in each)])
         if end_id is None:
             return flat, offsets
         n = np.diff(offsets)

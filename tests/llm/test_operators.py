@@ -60,7 +60,6 @@ def ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
