@@ -84,6 +84,15 @@ def venn(segs: DataFrame, tags: Sequence[str]) -> DataFrame:
     return segs.groupBy(combo.alias("combo")).agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
 
 
+def compare_tags(segs: DataFrame, tags: Sequence[str], truth: str) -> DataFrame:
+    """``tag, total, miss, extra``: bases of each tag, those of ``truth`` that it lacks, and its own that ``truth`` lacks."""
+    size, known = F.col("end") - F.col("start"), F.col(f"n_{truth}") > 0
+    bases = lambda test: F.coalesce(F.sum(F.when(test, size)), F.lit(0))
+    has = {t: F.col(f"n_{t}") > 0 for t in tags}
+    rows = [F.struct(F.lit(t).alias("tag"), bases(has[t]).alias("total"), bases(known & ~has[t]).alias("miss"), bases(has[t] & ~known).alias("extra")) for t in tags]
+    return segs.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+
+
 def exclusive(segs: DataFrame, tags: Sequence[str], tag: str) -> DataFrame:
     """Pieces that intervals of ``tag`` alone cover."""
     others = sum((F.col(f"n_{t}") for t in tags if t != tag), F.lit(0))
@@ -101,10 +110,19 @@ def last_before(points: DataFrame, events: DataFrame, keys: Sequence[str], at: s
 
     One union and one window; no range join.
     """
+    return _as_of(points, events, keys, at, value, F.asc)
+
+
+def first_after(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
+    """As-of lookup forwards: for each point the ``value`` of its key's first event at or after it."""
+    return _as_of(points, events, keys, at, value, F.desc)
+
+
+def _as_of(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str, order) -> DataFrame:
     both = points.withColumn("_event", F.lit(1)).withColumn(value, F.lit(None).cast(events.schema[value].dataType)).unionByName(
         events.select(*keys, at, value).withColumn("_event", F.lit(0)), allowMissingColumns=True
     )
-    line = Window.partitionBy(*keys).orderBy(at, "_event").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy(*keys).orderBy(order(at), "_event").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(line)).where("_event = 1").drop("_event")
 
 
@@ -113,6 +131,9 @@ def merge_boxes(boxes: DataFrame, keys: Sequence[str], dist: int = 500, most_rou
 
     Columns x_start, x_end, y_start, y_end. Boxes only grow, so the result does not depend on order: each round takes
     the connected components of the proximity graph and their bounds. Boxes whose two sides are one interval go.
+
+    Boxes meet in the cells of grids: a box lies in the few cells of its own size's grid and, to meet larger boxes, in
+    those of each wider grid that some box has; so a box costs a few rows a grid, however large it is.
     """
     spark, folder = boxes.sparkSession, workdir(boxes.sparkSession)
     sides = ["x_start", "x_end", "y_start", "y_end"]
@@ -120,15 +141,20 @@ def merge_boxes(boxes: DataFrame, keys: Sequence[str], dist: int = 500, most_rou
     now = stage(boxes.where(off_diagonal).select(*keys, *sides).distinct().withColumn("id", F.monotonically_increasing_id()), folder, "boxes_0")
     grid = max(1, 4 * dist)
     for i in range(1, most_rounds + 1):
-        cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / grid).cast("long"), F.floor((F.col(hi) + dist) / grid).cast("long")))
-        dealt = now.withColumn("_cx", cells("x_start", "x_end")).withColumn("_cy", cells("y_start", "y_end"))
-        other = dealt.select(*keys, "_cx", "_cy", *[F.col(c).alias(f"o_{c}") for c in ("id", *sides)])
+        longest = F.greatest(F.col("x_end") - F.col("x_start"), F.col("y_end") - F.col("y_start"))
+        own = now.withColumn("_own", F.ceil(F.greatest(F.log2(longest / grid), F.lit(0.0))).cast("int"))
+        widths = [r._own for r in own.select("_own").distinct().collect()]  # powers of two: 64 at most
+        width = F.lit(grid) * F.pow(F.lit(2), F.col("_grid")).cast("long")
+        cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width).cast("long"), F.floor((F.col(hi) + dist) / width).cast("long")))
+        dealt = own.withColumn("_grid", F.explode(F.filter(F.lit(widths), lambda w: w >= F.col("_own"))))
+        dealt = dealt.withColumn("_cx", cells("x_start", "x_end")).withColumn("_cy", cells("y_start", "y_end"))
+        other = dealt.select(*keys, "_grid", "_cx", "_cy", *[F.col(c).alias(f"o_{c}") for c in ("id", "_own", *sides)])
         near = (
-            (F.col("id") < F.col("o_id"))
+            (F.col("id") < F.col("o_id")) & ((F.col("_own") == F.col("_grid")) | (F.col("o__own") == F.col("_grid")))
             & (F.col("x_end") + dist >= F.col("o_x_start")) & (F.col("o_x_end") + dist >= F.col("x_start"))
             & (F.col("y_end") + dist >= F.col("o_y_start")) & (F.col("o_y_end") + dist >= F.col("y_start"))
         )
-        edges = stage(dealt.join(other, [*keys, "_cx", "_cy"]).where(near).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct(), folder, f"near_{i}")
+        edges = stage(dealt.join(other, [*keys, "_grid", "_cx", "_cy"]).where(near).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct(), folder, f"near_{i}")
         if edges.isEmpty():
             break
         named = components(edges, folder, f"component_{i}")
