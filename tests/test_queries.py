@@ -1,8 +1,10 @@
 import os
+import re
 
 import pytest
 
 import __spark_entry__ as entry
+from duplika.plans import queries
 from duplika.plans.queries import ORACLE_SQL, QUERIES
 
 from .oracle import DATA, both
@@ -22,5 +24,20 @@ def test_entry(spark):
 
 
 def test_workflow_queries(spark):
-    assert QUERIES["align_pairs"](spark, DATA).count() >= 0
+    seqs = {r.chrom: r.seq for r in queries._corpus(spark, DATA).collect()}
+    rows = QUERIES["align_pairs"](spark, DATA).collect()
+    assert rows
+    for r in rows:
+        x, y = seqs[r.chr1][r.start1 : r.end1], seqs[r.chr2][r.start2 : r.end2]
+        y = y if r.strand2 == "+" else y.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        i = j = wrong = gaps = 0
+        for n, op in re.findall(r"(\d+)([MID])", r.cigar):
+            n = int(n)
+            if op == "M":
+                wrong += sum(a != b or a not in "ACGT" for a, b in zip(x[i : i + n], y[j : j + n], strict=True))
+            else:
+                gaps += n
+            i, j = i + n * (op != "D"), j + n * (op != "I")
+        assert (i, j) == (len(x), len(y)) and r.max_len == max(i, j)
+        assert abs(r.score - 100 * (wrong + gaps) / r.aln_len) < 0.0501
     assert set(QUERIES["chain_dp"](spark, DATA).columns) >= {"x_start", "x_end", "y_start", "y_end"}
