@@ -1,4 +1,4 @@
-"""The queries ``op1_…`` to ``op10_…`` and their SQL."""
+"""The queries ``op1_…`` to ``op13_…`` and their SQL."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from .language_id import language_query
 from .licenses import scan, scan_sql
 from .ngram_join import ngram_join_query
 from .packing import packing_query
+from .rope_fim import FIM_SQL, fim_query
 from .substring_dedup import substring_query
 from .token_store import token_store_query
 from .toxicity import toxicity_query
@@ -63,6 +64,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_query(table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_ann": op10_ann,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 _OP2_SQL = """
@@ -105,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_join": _OP3_SQL,
     "op6_substring_dedup": _OP6_SQL,
     "op9_license_scan": scan_sql(),
+    "op11_fill_in_middle": FIM_SQL,
 }
