@@ -19,6 +19,7 @@ from .rope_fim import FIM_SQL, fim_query
 from .substring_dedup import substring_query
 from .token_store import token_store_query
 from .toxicity import toxicity_query
+from .warc import WARC_SQL, warc_query
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -68,6 +69,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_query(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_query(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_exact_dedup": op2_exact_dedup,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_ann": op10_ann,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_warc": op12_warc,
 }
 
 _OP2_SQL = """
@@ -112,4 +118,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": _OP6_SQL,
     "op9_license_scan": scan_sql(),
     "op11_fill_in_middle": FIM_SQL,
+    "op12_warc": WARC_SQL,
 }

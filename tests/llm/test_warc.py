@@ -1,0 +1,135 @@
+"""WARC archives: records against brute force, layout, determinism, recovery."""
+
+import gzip
+import hashlib
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from duplika.llm import warc as W
+
+SCHEMA = "page_id long, url string, html string, h long, file string, place long, record_type string"
+
+
+def rows():
+    rng = random.Random(3)
+    body = lambda n: "".join(rng.choices("abcdé <>\r\n", k=n))
+    a, b, small = body(1500), body(3000), "s" * 999
+    out = [(None, None, None), (None, "u", a), (0, "http://x/ y\r\nX: 1", a), (1, "", ""), (2, "u", small), (3, "u", small), (4, "u", "t" * 1000), (5, "u", "t" * 1000), (-9, "u", "é" * 500), (-8, "u", "é" * 500)]
+    out += [(i, f"http://h/{i}", b) for i in range(100, 180)]
+    out += [(200 + i, f"http://h/{i}", body(rng.randint(0, 2500))) for i in range(120)]
+    out += [(400, "u", body(2000))] * 3 + [(401, "u", "tiny")] * 3 + [(2**62, "big", "z" * 2_000_000)]
+    return out
+
+
+ROWS = rows()
+
+
+def frame(spark, data):
+    return spark.createDataFrame([(p, u, t, 1, "f", 2, "x") for p, u, t in data], SCHEMA)
+
+
+def want(data):
+    groups, out = {}, []
+    for p, _, t in data:
+        groups.setdefault((t or "").encode(), []).append(p)
+    for t, ids in groups.items():
+        ids.sort(key=lambda p: (p is not None, p or 0))
+        sha = hashlib.sha1(t).hexdigest()
+        for i, p in enumerate(ids):
+            again = len(t) >= 1000 and i + 1 < len(ids)
+            out.append((p, len(t), sha, "revisit" if again else "response", ids[-1] if again else None))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=repr)
+
+
+@pytest.mark.parametrize("layout", [W.Layout(), W.Layout(shard_bytes=20_000, file_bytes=3_000)], ids=["one", "many"])
+def test_query(spark, layout):
+    assert got(W.warc_query(spark, frame(spark, ROWS), layout)) == want(ROWS)
+    assert W.warc_query(spark, frame(spark, []), layout).count() == 0
+
+
+def files(folder):
+    return {f: open(f"{folder}/{f}", "rb").read() for f in sorted(os.listdir(folder)) if f.endswith(".gz")}
+
+
+SMALL = W.Layout(shard_bytes=20_000, file_bytes=3_000)
+
+
+def test_files_do_not_depend_on_partitions(spark, tmp_path):
+    made = []
+    for i, n in enumerate((1, 7)):
+        data = list(ROWS)
+        random.Random(i).shuffle(data)
+        folder = f"{tmp_path}/{i}"
+        manifest = W.write_archives(frame(spark, data).repartition(n), folder, SMALL).collect()
+        held = files(folder)
+        assert {m.name: (m.bytes, m.sha1) for m in manifest} == {k: (len(v), hashlib.sha1(v).hexdigest()) for k, v in held.items()}
+        assert sum(m.records for m in manifest) == len(ROWS) and not os.path.exists(f"{folder}/_temporary")
+        made.append(held)
+    assert made[0] == made[1] and len({k.split("-")[1] for k in made[0]}) > 5 and any("-0001." in k for k in made[0])
+    # Every file but a shard's last has reached its size, and by no more than its last record.
+    for name, data in made[0].items():
+        shard, number = name.split("-")[1], int(name.split("-")[2][:4])
+        if f"pages-{shard}-{number + 1:04d}.warc.gz" in made[0]:
+            assert len(data) >= SMALL.file_bytes
+
+
+def test_records_are_readable_by_the_format(spark, tmp_path):
+    W.write_archives(frame(spark, ROWS), str(tmp_path / "a"), SMALL)
+    ids, seen = set(), []
+    for data in files(tmp_path / "a").values():
+        text = gzip.decompress(data)  # members one after another
+        records = [W.parse(m) for m in W.members(data, 100)]
+        assert records[0][0]["warc-type"] == "warcinfo" and b"".join(W.members(data)) == text
+        for headers, block in records[1:]:
+            assert headers["content-type"] == "application/http;msgtype=response" and block.startswith(b"HTTP/1.1 200 OK\r\n")
+            assert headers["warc-record-id"] not in ids
+            ids.add(headers["warc-record-id"])
+            seen.append(int(headers.get("x-page-id", -(2**63))))
+            assert "x" not in headers and (headers["warc-type"] == "response" or "warc-refers-to" in headers and block.endswith(b"\r\n\r\n"))
+    assert seen == sorted(seen) and len(seen) == len(ROWS)
+    back = W.read_archives(spark, str(tmp_path / "a"), payloads=True).where("record_type = 'response'").collect()
+    assert {(r.page_id, bytes(r.payload)) for r in back} <= {(p, (t or "").encode()) for p, _, t in ROWS}
+    assert W.missing(spark, str(tmp_path / "a")).count() == 0
+
+
+def test_recovery(spark, tmp_path):
+    """Files without their names get them; files that no manifest knows go; one that is lost is told."""
+    folder = str(tmp_path / "a")
+    names = [m.name for m in W.write_archives(frame(spark, ROWS), folder, SMALL).collect()]
+    before = files(folder)
+    temporary = {m.name: m.temporary for m in spark.read.parquet(f"{folder}/_manifest").collect()}
+    os.mkdir(f"{folder}/_temporary")
+    os.rename(f"{folder}/{names[0]}", f"{folder}/_temporary/{temporary[names[0]]}")
+    open(f"{folder}/_temporary/{names[1]}.999", "wb").write(b"of a lost attempt")
+    W.write_archives(frame(spark, ROWS), folder, SMALL)
+    assert files(folder) == before and not os.path.exists(f"{folder}/_temporary")
+    os.remove(f"{folder}/{names[2]}")
+    assert [r.name for r in W.missing(spark, folder).collect()] == [names[2]]
+    with pytest.raises(Exception, match="neither written nor named"):
+        W.write_archives(frame(spark, ROWS), folder, SMALL)
+
+
+def test_broken_archives_are_told():
+    good = W.page_record(1, "u", b"p" * 50, W.record_id(1), "1970-01-01T00:00:00Z", None)
+    assert W.parse(good)[0]["x-page-id"] == "1"
+    with pytest.raises(ValueError):
+        W.parse(good.replace(b"ppp\r\n\r\n", b"ppq\r\n\r\n"))
+    with pytest.raises(ValueError):
+        list(W.members(W._member(good, 6)[:-5]))
+
+
+def test_equal_rows_beyond_a_shard(spark, tmp_path):
+    """One key that fills several shards is spread over them."""
+    data = [(7, "u", "a" * 1500)] * 60 + [(8, "u", "b")] + [(9, "u", "c" * 900)] * 60
+    folder = str(tmp_path / "a")
+    manifest = W.write_archives(frame(spark, data).withColumn("x", F.lit(1)), folder, W.Layout(shard_bytes=10_000)).collect()
+    assert sum(m.records for m in manifest) == 121 and max(m.records for m in manifest) < 30
+    records = W.read_archives(spark, folder)
+    assert records.select("record_id").distinct().count() == 121 and got(W.resolve(records)) == want(data)
