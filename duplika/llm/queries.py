@@ -15,6 +15,7 @@ from .language_id import language_query
 from .licenses import scan, scan_sql
 from .ngram_join import ngram_join_query
 from .packing import packing_query
+from .prefix_trie import TRIE_SQL, trie_query
 from .rope_fim import FIM_SQL, fim_query
 from .substring_dedup import substring_query
 from .token_store import token_store_query
@@ -73,6 +74,10 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_query(spark, table(spark, sf_dir, "pages"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_exact_dedup": op2_exact_dedup,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_warc": op12_warc,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP2_SQL = """
@@ -119,4 +125,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_license_scan": scan_sql(),
     "op11_fill_in_middle": FIM_SQL,
     "op12_warc": WARC_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }

@@ -1,0 +1,115 @@
+"""The prefix tree of conversations against brute force, with large and small classes."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from duplika.llm import prefix_trie as T
+from duplika.llm.common import stage, workdir
+
+SCHEMA = "conv_id long, turn long, role string, text string, top long, path long, n long, key string, bytes long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 1, 2, 3, "k", 4) for r in rows], SCHEMA)
+
+
+def key(role, text):
+    role, text = role or "", text or ""
+    return hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()
+
+
+def own(rows):
+    out = defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            out[c].append(((t is not None, t or 0), key(role, text), (role or "", text or "")))
+    return {c: [x[2] for x in sorted(v)] for c, v in out.items()}
+
+
+def rebuild(rows):
+    turns = own(rows)
+    out = {}
+    for c, mine in turns.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - (abs(c) % 5 if c >= 0 else -(abs(c) % 5))
+        out[c] = turns.get(base, [])[:h] + mine[h:]
+    return out
+
+
+def brute(seqs):
+    members = defaultdict(list)
+    for c, s in seqs.items():
+        for d in range(len(s) + 1):
+            members[tuple(s[:d])].append(c)
+    kids = defaultdict(list)
+    for p in members:
+        if p:
+            kids[p[:-1]].append(p)
+    sums = {}
+    for p in sorted(members, key=len, reverse=True):
+        saved = (len(members[p]) - 1) * len(p[-1][1].encode()) if p else 0
+        sums[p] = (sum(sums[k][0] for k in kids[p]) or 1, saved + sum(sums[k][1] for k in kids[p]))
+    rows = []
+    for p, m in members.items():
+        ends = ",".join(map(str, sorted(c for c in m if len(seqs[c]) == len(p))))
+        rows.append((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(kids[p]), *sums[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(rows, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def rows():
+    rng = random.Random(6)
+    out = []
+    for c in [*range(-20, 160), 7_001, 7_003, 2**61 + 3]:
+        for t in range(rng.randint(1, 12)):
+            out.append((c, t, rng.choice(["user", "assistant"]), rng.choice(["a", "b", "é中"]) if t < 3 or c % 3 else f"{c} {t}"))
+    out += [(None, 1, "user", "of nobody"), (3, None, None, None), (3, 2, None, "tie"), (3, 2, "user", None), (4, 0, "user", "a"), (4, 0, "user", "a")]
+    out += [(c, t, "user", "the same") for c in range(500, 560) for t in range(20)]  # copies
+    out += [(c, t, "user", "long" if t < 300 else str(c)) for c in (1000, 2000) for t in range(310)]
+    return out
+
+
+ROWS = rows()
+
+
+def test_query(spark):
+    assert got(T.trie_query(frame(spark, ROWS))) == brute(rebuild(ROWS))
+
+
+def test_nothing(spark):
+    assert T.trie_query(frame(spark, [])).collect() == [] and T.trie_query(frame(spark, [(None, 0, "user", "a")])).collect() == []
+
+
+def test_conversations_without_turns(spark):
+    one = [c for c in range(1, 200) if c % 5 and zlib.crc32(str(c).encode()) % 9 >= 1][:4]  # one turn, no base
+    data = [(c, 0, "user", "x") for c in one]
+    seqs = rebuild(data)
+    assert all(s == [] for s in seqs.values())
+    assert got(T.trie_query(frame(spark, data))) == brute(seqs)
+
+
+@pytest.mark.parametrize("limits", [(0, 0), (5, 40), (10**6, 10**9)], ids=["rounds", "both", "tasks"])
+def test_any_limit_gives_the_same_tree(spark, limits):
+    rng = random.Random(8)
+    seqs = {c: [("r", rng.choice("ab")) for _ in range(rng.randint(0, 7))] for c in rng.sample(range(-300, 300), 250)}
+    folder = workdir(spark)
+    df = spark.createDataFrame([(c, [(bytearray(key(*t)), len(t[1])) for t in s]) for c, s in seqs.items()], "conv_id long, turns array<struct<key:binary,bytes:long>>")
+    nodes = T.trie(stage(df, folder, "in"), folder, *limits)
+    out = sorted(((r.conv_id, r.depth, r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens, r.ends or hashlib.sha256(b"").hexdigest()) for r in nodes.collect()), key=repr)
+    assert out == brute(seqs)
+
+
+def test_ids_of_many_copies_are_digested_in_order(spark):
+    seqs = {c: [("user", "x")] for c in range(-9000, 9000, 3)}
+    data = [(c, 0, "user", "x") for c in seqs]
+    folder = workdir(spark)
+    found = T.paths(stage(T.own_turns(frame(spark, data)), folder, "in")).collect()
+    assert len(found) == 1 and found[0].n == len(seqs) and found[0].path == -9000
+    assert found[0].ends == hashlib.sha256(",".join(map(str, sorted(seqs))).encode()).hexdigest()
