@@ -126,11 +126,12 @@ def _as_of(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, v
     return both.withColumn(value, F.last(value, ignorenulls=True).over(line)).where("_event = 1").drop("_event")
 
 
-def merge_boxes(boxes: DataFrame, keys: Sequence[str], dist: int = 500, most_rounds: int = 50) -> DataFrame:
+def merge_boxes(boxes: DataFrame, keys: Sequence[str], dist: int = 500, most_rounds: int = 50, one_line: Column | None = None) -> DataFrame:
     """Bounding boxes of boxes within ``dist`` on both axes, to a fixpoint.
 
     Columns x_start, x_end, y_start, y_end. Boxes only grow, so the result does not depend on order: each round takes
-    the connected components of the proximity graph and their bounds. Boxes whose two sides are one interval go.
+    the connected components of the proximity graph and their bounds. Boxes whose two sides are one interval go; ``one_line``
+    tells of a row's keys whether x and y count along one line, else all do.
 
     Boxes meet in the cells of grids: a box lies in the few cells of its own size's grid and, to meet larger boxes, in
     those of each wider grid that some box has; so a box costs a few rows a grid, however large it is.
@@ -138,6 +139,8 @@ def merge_boxes(boxes: DataFrame, keys: Sequence[str], dist: int = 500, most_rou
     spark, folder = boxes.sparkSession, workdir(boxes.sparkSession)
     sides = ["x_start", "x_end", "y_start", "y_end"]
     off_diagonal = (F.col("x_start") != F.col("y_start")) | (F.col("x_end") != F.col("y_end"))
+    if one_line is not None:
+        off_diagonal = ~one_line | off_diagonal
     now = stage(boxes.where(off_diagonal).select(*keys, *sides).distinct().withColumn("id", F.monotonically_increasing_id()), folder, "boxes_0")
     grid = max(1, 4 * dist)
     for i in range(1, most_rounds + 1):

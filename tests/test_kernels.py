@@ -1,0 +1,172 @@
+"""The sequential kernels against plain versions of their rules."""
+
+import math
+import random
+import time
+from bisect import bisect_left
+
+import numpy as np
+import pytest
+
+from duplika.operators import evaluate, kernels
+
+from .test_workflow import naive_score
+
+
+def test_divided_alignment_scores_as_the_whole():
+    rng = random.Random(11)
+    for t in range(150):
+        x = evaluate.random_sequence(rng.randint(0, 45), rng)
+        y = evaluate.mutate(x, 0.15, 0.3, rng, 14) if t % 3 else evaluate.random_sequence(rng.randint(0, 45), rng)
+        want = naive_score(x, y)
+        for cells in (1, 40, 300):
+            cigar = kernels.align(x.encode(), y.encode(), cells=cells)
+            assert kernels.spans(cigar) == (len(x), len(y)) and kernels.cigar_score(cigar) == want
+        assert kernels.affine_score(x.encode(), y.encode()) == want
+
+
+@pytest.mark.parametrize("n", [6_000, 12_000])
+def test_long_stretches_are_aligned_whole(n):
+    rng = random.Random(n)
+    x = evaluate.random_sequence(n, rng)
+    at = n // 3
+    y = evaluate.mutate(x[:at] + evaluate.random_sequence(50, rng) + x[at:-700] + evaluate.random_sequence(1300, rng) + x[-700:], 0.05, 0.02, rng)
+    cigar = kernels.align(x.encode(), y.encode())
+    assert kernels.spans(cigar) == (len(x), len(y)) and kernels.cigar_score(cigar) == kernels.affine_score(x.encode(), y.encode())
+    exact = kernels.align(x.encode(), (x[:at] + "ACGTTGCAAC" * 5 + x[at:]).encode())
+    assert kernels.cigar_score(exact) == 5 * n - 90
+
+
+def test_the_bases_of_an_alignment_are_those_of_its_cigar():
+    rng = random.Random(13)
+    x = evaluate.random_sequence(700, rng)
+    y = evaluate.mutate(x, 0.1, 0.1, rng)
+    cigar, i, j = kernels.align(x.encode(), y.encode(), cells=5_000), 0, 0
+    for n, op in cigar:
+        if op in "=X":
+            assert all((a == b) == (op == "=") for a, b in zip(x[i : i + n], y[j : j + n], strict=True))
+        i, j = i + n * (op != "D"), j + n * (op != "I")
+    assert all(a[1] != b[1] for a, b in zip(cigar, cigar[1:]))
+
+
+def scanned(x, y, n, base=4, per_base=2, max_gap=210, min_span=90):
+    """Anchor chains where each anchor looks at all before it."""
+    order = sorted(range(len(x)), key=lambda i: (x[i], y[i], i))
+    by_end = sorted(range(len(order)), key=lambda a: (x[order[a]] + n[order[a]], a))
+    score, before = [0] * len(order), [-1] * len(order)
+    for a, i in enumerate(order):
+        score[a] = own = base + per_base * (n[i] - 1)
+        best = None
+        for b in by_end:
+            j = order[b]
+            dx, dy = x[i] - x[j] - n[j], y[i] - y[j] - n[j]
+            if b < a and 0 <= dx <= max_gap and 0 <= dy < max_gap and (best is None or score[b] - dx - dy > best[0]):
+                best = score[b] - dx - dy, b
+        if best and own + best[0] > 0:
+            score[a], before[a] = own + best[0], best[1]
+    used, out = set(), []
+    for a in sorted(range(len(order)), key=lambda a: -score[a]):
+        path = []
+        while a >= 0 and a not in used:
+            used.add(a)
+            path.append(order[a])
+            a = before[a]
+        if path:
+            path.reverse()
+            p, q = path[0], path[-1]
+            if max(x[q] + n[q] - x[p], y[q] + n[q] - y[p]) >= min_span:
+                out.append(path)
+    return out
+
+
+def test_swept_chains_are_those_of_a_scan():
+    rng = random.Random(5)
+    for t in range(60):
+        size = rng.choice((1, 2, 30, 120))
+        x, y = ([rng.randrange(700) for _ in range(size)] for _ in "xy")
+        if t % 2:
+            y = [v + rng.randint(-20, 20) + 300 for v in x]
+        n = [rng.randint(1, 40) for _ in range(size)]
+        assert kernels.chain_anchors(*(np.array(v) for v in (x, y, n))) == scanned(x, y, n)
+
+
+def test_dense_anchors_take_seconds():
+    """10^5 anchors of one window: a scan would look at 10^10 / 2."""
+    rng = np.random.default_rng(3)
+    size = 100_000
+    x, y = rng.integers(0, 200, size), rng.integers(0, 200, size)
+    began = time.monotonic()
+    chains = kernels.chain_anchors(x, y, np.full(size, 2), min_span=20)
+    assert chains and time.monotonic() - began < 30
+
+
+def aged(x, y, ordinal, tau, max_gap, max_len, min_x, min_y):
+    """Density chains where every live chain is looked at for each ordinal."""
+    live, out = [], []
+
+    def close(c, at_end):
+        span = c[0] - c[1]
+        if (span > min_x or c[5] >= 4) if at_end else (span > min_x and c[3] - c[2] >= min_y):
+            out.append((c[1], c[0], c[2], c[3]))
+
+    seeds = {}
+    for a, b, o in zip(x, y, ordinal):
+        seeds.setdefault(o, []).append((a, b))
+    for now in sorted(seeds):
+        kept = []
+        for c in live:
+            if math.ceil((now - c[4]) * tau) > c[5] or c[0] - c[1] >= max_len:
+                close(c, False)
+            else:
+                kept.append(c)
+        live, fresh, lasts, taken = kept, [], [c[0] for c in kept], set()
+        for place, probe in sorted(seeds[now]):
+            j = bisect_left(lasts, place) - 1
+            while j >= 0 and j in taken and lasts[j] >= place - max_gap:
+                j -= 1
+            if j >= 0 and lasts[j] >= place - max_gap:
+                taken.add(j)
+                c = live[j]
+                c[0], c[3], c[5] = place, probe, c[5] + 1
+            else:
+                fresh.append([place, place, probe, probe, now, 1])
+        live = sorted([*live, *fresh])
+    for c in live:
+        close(c, True)
+    return sorted(out)
+
+
+def test_density_chains_are_those_of_full_ageing():
+    rng = random.Random(9)
+    for t in range(80):
+        tau, limits = rng.choice((0.03, 0.048, 0.2, 0.5)), (rng.choice((20, 250)), rng.choice((300, 2_000_000)), rng.choice((0, 30)), rng.choice((0, 60)))
+        seeds = {(rng.randrange(1500), rng.randrange(400)) for _ in range(rng.choice((0, 5, 200, 900)))}
+        if t % 2:
+            seeds |= {(7 * i + rng.randint(0, 3), 5 * i) for i in range(60)}
+        x, y = ([s[i] for s in sorted(seeds)] for i in (0, 1))
+        skip = rng.choice((1, 3))
+        ordinal = [b // skip * 2 if t % 3 else b for b in y]
+        if t % 3:  # one ordinal is one place of y
+            y = ordinal
+            seeds = sorted(set(zip(x, y)))
+            x, y = [s[0] for s in seeds], [s[1] for s in seeds]
+            ordinal = list(y)
+        got = kernels.density_chains(*(np.array(v, np.int64) for v in (x, y, ordinal)), tau, *limits)
+        assert sorted(got) == aged(x, y, ordinal, tau, *limits)
+
+
+def test_growth_and_refinement():
+    rng = random.Random(12)
+    core, flank = evaluate.random_sequence(1500, rng), evaluate.random_sequence(300, rng)
+    x = evaluate.random_sequence(600, rng) + flank + core + flank + evaluate.random_sequence(600, rng)
+    y = evaluate.random_sequence(900, rng) + flank + core + flank + evaluate.random_sequence(900, rng)
+    hit = kernels.grow(x.encode(), y.encode(), (900, 2400, 1200, 2700, [(1500, "=")]))
+    assert hit[0] <= 600 and hit[1] >= 2700 and hit[2] <= 900 and hit[3] >= 3000 and kernels.spans(hit[4]) == (hit[1] - hit[0], hit[3] - hit[2])
+    assert kernels.grow(core.encode(), core.encode(), (0, 1500, 0, 1500, [(1500, "=")]))[:4] == (0, 1500, 0, 1500)
+    same = lambda parts: (parts[0][0], parts[-1][1], parts[0][2], parts[-1][3], [(parts[-1][1] - parts[0][0], "=")])
+    one = [(0, 880, 0, 880, [(880, "=")])]
+    assert kernels.refine(one, None, same) == []  # 900 columns are asked of the grown hit
+    assert kernels.refine(one, None, lambda p: (0, 900, 0, 900, [(900, "=")])) == [(0, 900, 0, 900, [(900, "=")])]
+    assert kernels.refine([(0, 399, 0, 399, [(399, "=")])], None, lambda p: (0, 900, 0, 900, [(900, "=")])) == []
+    far = [(0, 1000, 0, 1000, [(1000, "=")])]
+    assert kernels.refine(far, 12_000, same) and not kernels.refine(far, 499, same) and kernels.refine(far, 500, same)

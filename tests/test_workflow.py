@@ -69,7 +69,7 @@ def test_pair_alignment_finds_a_mutated_copy():
     b = evaluate.mutate(a, 0.05, 0.05, rng)
     x = evaluate.random_sequence(800, rng) + a + evaluate.random_sequence(900, rng)
     y = evaluate.random_sequence(300, rng) + b + evaluate.random_sequence(500, rng)
-    found = align_pair(x.encode(), y.encode(), None, False)
+    found = align_pair(x.encode(), y.encode())
     assert found
     xs, xe, ys, ye, cigar = found[0]
     assert kernels.spans(cigar) == (xe - xs, ye - ys)

@@ -48,7 +48,7 @@ def test_anchors_against_a_naive_search(spark):
 def test_an_unknown_base_is_no_match():
     x = evaluate.random_sequence(1500, random.Random(3))
     x = x[:700] + "A" + x[701:]
-    (found,) = align_pair(x.encode(), (x[:700] + "N" + x[701:]).encode(), None, False)
+    (found,) = align_pair(x.encode(), (x[:700] + "N" + x[701:]).encode())
     assert found[4] == [(700, "="), (1, "X"), (799, "=")]
 
 
