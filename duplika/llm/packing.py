@@ -2,12 +2,14 @@
 
 The plan is made over the histogram of piece lengths, at most ``capacity`` numbers whatever the
 corpus: a configuration linear program (a variable for each multiset of lengths that fits one
-sequence, a demand for each length) is solved by multiplicative weights. The demand rises in steps; a length's
-weight falls exponentially with its coverage, a knapsack dynamic program prices the fill of every room for the weights, and
-the best-priced patterns of lengths that still lack coverage are taken until one of their lengths has its step's
-demand. The weights over the price of the best pattern are a solution of the dual program, so they bound the
-sequences from below. The fractional solution is rounded down, and what that leaves is filled by the same
-pricing in whole patterns. The work grows with the lengths and patterns, not with the pieces. The pieces then take their
+sequence, a demand for each length) is solved by multiplicative weights. In each round a knapsack dynamic program prices
+the fill of every room for the weights, a block of patterns worth nearly the best one is taken in an amount that covers
+no length more than once, and each length's weight falls exponentially with the share of its demand that the block
+covers. The weights over the price of the best pattern are a solution of the dual program; the best of all rounds bounds the
+sequences from below, and the rounds end when the solution is within ``GAP`` of it, or after ``ROUNDS``. The blocks
+together, scaled so that no length is covered beyond its demand, are the solution; what single lengths lack then is served
+by patterns priced for the last weights. The solution is rounded down, and what that leaves is filled by the same pricing in
+whole patterns. The work grows with the lengths and patterns, not with the pieces. The pieces then take their
 places by rank within their length, without meeting in one task.
 
 Cases: null text counts as empty and is packed as its end id alone; rows that share a doc_id are
@@ -31,9 +33,13 @@ PIECES = schema("doc_id long, piece int, start long, length long, ids_crc32 long
 PACKED = schema("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
-#: Steps in which the demand rises, and times that each step's fills are priced anew, which is done when a fill leaves
-#: more than the capacity / ROOM and GONE lengths or more were taken out since.
-STEPS, PRICES, ROOM, GONE = 2, 64, 4096, 32
+#: Rounds at most, patterns of a round at most, the share of the best price that they are worth, the weights' rate, and the gap that ends the rounds.
+ROUNDS, BLOCK, NEAR, RATE, GAP = 64, 48, 0.98, 0.15, 1e-4
+#: Copies of a pattern of the rounds from which it is kept for the solution, so that rounding down loses little of it.
+KEEP = 8
+#: Times that fills of what lacks are priced anew, which is done when a fill leaves more than the capacity / ROOM and GONE lengths or more
+#: were taken out since.
+PRICES, ROOM, GONE = 64, 4096, 32
 
 # --- the plan over the histogram ----------------------------------------------
 
@@ -46,10 +52,27 @@ class _Knapsack:
         self.price()
 
     def price(self) -> None:
-        self.best, self.gone = np.zeros(self.cap + 1), 0
-        back = self.value[::-1].copy()
-        for c in range(1, self.cap + 1):
-            self.best[c] = max(self.best[c - 1], (back[self.cap - c : self.cap] + self.best[:c]).max())
+        best, self.gone = np.zeros(self.cap + 1), 0
+        held = np.flatnonzero(self.value > 0)
+        if held.size <= 200:  # few lengths: look them up
+            fit = np.searchsorted(held, np.arange(self.cap + 1), "right").tolist()
+            worth = self.value[held]
+            for c in range(int(held[0]) if held.size else self.cap + 1, self.cap + 1):
+                k = fit[c]
+                best[c] = max(best[c - 1], (worth[:k] + best[c - held[:k]]).max())
+        else:
+            back = self.value[::-1].copy()
+            for c in range(1, self.cap + 1):
+                best[c] = max(best[c - 1], (back[self.cap - c : self.cap] + best[:c]).max())
+        self.best = best
+
+    def filled(self, n: int) -> Pattern:
+        """A pattern that holds length n and the best fill of the rest."""
+        pattern, room = {n: 1}, self.cap - n
+        while k := self.pick(room):
+            pattern[k] = pattern.get(k, 0) + 1
+            room -= k
+        return tuple(sorted(pattern.items(), reverse=True))
 
     def take_out(self, n: int) -> None:
         self.value[n] = -1.0
@@ -101,40 +124,77 @@ def _serve(lengths: list[int], lack: np.ndarray, knapsack: _Knapsack, whole: boo
             yield tuple(sorted(pattern.items(), reverse=True)), times
 
 
-def solve(count: np.ndarray, cap: int, steps: int = STEPS, prices: int = PRICES, rate: float = 0.1) -> tuple[dict[Pattern, float], float]:
+def weigh(count: np.ndarray, cap: int, rounds: int = ROUNDS, block: int = BLOCK, rate: float = RATE, gap: float = GAP) -> tuple[dict[Pattern, float], np.ndarray, float]:
+    """Multiplicative weights: patterns with multiplicities that cover no length beyond ``count``, the last weights, the best bound."""
+    held = np.flatnonzero(count)
+    weights = np.where(count > 0, np.arange(cap + 1) / cap, -1.0)
+    taken: dict[Pattern, float] = {}
+    covered, bound = np.zeros(cap + 1), 0.0
+    for _ in range(rounds if held.size else 0):
+        knapsack = _Knapsack(weights, cap)
+        top = float(knapsack.best[cap])
+        bound = max(bound, float(count[held] @ weights[held]) / top)
+        if covered.any():
+            share = covered[held] / count[held]
+            if sum(taken.values()) / max(share.min(), 1e-12) <= bound * (1 + gap):
+                break
+        worth = weights[held] + knapsack.best[cap - held]
+        near = held[worth >= NEAR * worth.max()]
+        # Those that are least covered so far, each with the best fill beside it.
+        chosen = {knapsack.filled(int(n)) for n in near[np.argsort(covered[near] / count[near], kind="stable")[:block]]}
+        chosen.add(knapsack.filled(int(held[worth.argmax()])))
+        gives, times = np.zeros(cap + 1), {}
+        for pattern in sorted(chosen):
+            times[pattern] = min(count[n] / a for n, a in pattern)
+            for n, a in pattern:
+                gives[n] += a * times[pattern]
+        width = float((gives[held] / count[held]).max())
+        for pattern, x in times.items():
+            taken[pattern] = taken.get(pattern, 0.0) + x / width
+        gives /= width
+        covered += gives
+        weights[held] *= np.exp(-rate * gives[held] / count[held])
+        weights[held] /= weights[held].max()
+    most = float((covered[held] / count[held]).max()) if held.size else 1.0
+    return {p: x / most for p, x in taken.items()}, weights, bound
+
+
+def _rest(count: np.ndarray, cap: int, kept: dict[Pattern, float], weights: np.ndarray, prices: int) -> dict[Pattern, float]:
+    """``kept`` with patterns, priced for the weights, that serve what lengths lack."""
+    lack, out = count.astype(float), dict(kept)
+    for pattern, x in kept.items():
+        for n, a in pattern:
+            lack[n] -= a * x
+    lack[lack < 1e-9 * np.maximum(count, 1)] = 0
+    knapsack = _Knapsack(np.where(lack > 0, weights, -1.0), cap)
+    for pattern, x in _serve(np.flatnonzero(lack)[::-1].tolist(), lack, knapsack, False, prices):
+        out[pattern] = out.get(pattern, 0.0) + x
+    return out
+
+
+def solve(count: np.ndarray, cap: int, prices: int = PRICES, **rounds) -> tuple[dict[Pattern, float], float]:
     """Fractional pattern multiplicities that give ``count[length]`` pieces of every length a place, and a bound from below.
 
-    Where no pattern is worth more than 1, the pieces' worth is a bound: that of the weights of each step, and
-    that of 1 for each piece above half the capacity and a half for one of just half.
+    The bound is the best of the rounds', that of the lengths' sum, and that of 1 for each piece above half the capacity and a half for one of just half.
     """
-    lengths, size = np.flatnonzero(count)[::-1].tolist(), np.arange(cap + 1) / cap
-    covered, out = np.zeros(cap + 1), {}
-    bound = max(float(count @ size), float(count[cap // 2 + 1 :].sum()) + (0.5 * float(count[cap // 2]) if cap % 2 == 0 else 0.0))
-    for t in range(1, steps + 1):
-        demand = count * (t / steps)
-        weights = size * np.exp(-rate * covered / np.maximum(demand, 1e-9))
-        lack = demand - covered
-        knapsack = _Knapsack(np.where(lack > 1e-9, weights, -1.0), cap)
-        if knapsack.best[cap] > 0:
-            bound = max(bound, float(count @ weights) / float(knapsack.best[cap]))
-        for key, times in _serve(lengths, lack, knapsack, False, prices):
-            out[key] = out.get(key, 0.0) + times
-        covered = demand - lack
-    return out, bound
-
-
-def plan(count: np.ndarray, cap: int, rate: float = 0.1) -> list[tuple[Pattern, int]]:
+    taken, weights, bound = weigh(count, cap, **rounds)
+    size = np.arange(cap + 1) / cap
+    bound = max(bound, float(count @ size), float(count[cap // 2 + 1 :].sum()) + (0.5 * float(count[cap // 2]) if cap % 2 == 0 else 0.0))
+    tries = [_rest(count, cap, kept, w, prices) for kept, w in (({p: x for p, x in taken.items() if x >= KEEP}, weights), (taken, weights), ({}, size))]
+    return min(tries, key=lambda x: round(sum(x.values()), 6)), bound
+
+
+def plan(count: np.ndarray, cap: int) -> list[tuple[Pattern, int]]:
     """Patterns and whole multiplicities that place each of ``count[length]`` pieces once."""
     out: dict[Pattern, int] = {}
     left = count.astype(np.int64).copy()
     if left.any():
-        for key, x in solve(count, cap, rate=rate)[0].items():
+        for key, x in solve(count, cap)[0].items():
             if times := int(x + 1e-6):
                 out[key] = times
                 for k, a in key:
                     left[k] -= a * times
-    weights = np.arange(cap + 1) / cap * np.exp(rate * left / np.maximum(count, 1))
-    knapsack = _Knapsack(np.where(left > 0, weights, -1.0), cap)
+    knapsack = _Knapsack(np.where(left > 0, np.arange(cap + 1) / cap, -1.0), cap)
     for key, times in _serve(np.flatnonzero(left)[::-1].tolist(), left, knapsack, True, PRICES):
         out[key] = out.get(key, 0) + times
     return sorted(out.items())

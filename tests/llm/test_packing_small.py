@@ -66,3 +66,43 @@ def test_bound_holds_against_every_packing():
         few = fewest(pieces, [], 10)
         assert packing.solve(count, 12)[1] <= few + 1e-9
         assert sum(t for _, t in packing.plan(count, 12)) <= few + 1
+
+
+def counts(**pieces):
+    return np.bincount(np.repeat([int(k[1:]) for k in pieces], list(pieces.values())), minlength=4097)
+
+
+def test_weights_move_to_a_bound_that_lengths_alone_do_not_give():
+    """Where waste is forced, the best weights are not in proportion to the lengths."""
+    for count, few, least in ((counts(n2100=100, n1400=300), 200, 195), (counts(n1366=600, n2731=300, n1365=300), 600, 590)):
+        taken, weights, bound = packing.weigh(count, 4096)
+        held = np.flatnonzero(count)
+        per = weights[held] / held
+        assert least < bound <= few + 1e-9 and per.max() > 1.2 * per.min()
+        # The bound is the dual solution's: no pattern is worth more than 1.
+        best = packing._Knapsack(weights, 4096).best[4096]
+        assert bound >= count[held] @ weights[held] / best - 1e-9
+        for n in held:
+            assert sum(a * x for p, x in taken.items() for m, a in p if m == n) <= count[n] * (1 + 1e-9)
+        solution, same = packing.solve(count, 4096)
+        assert same == bound and sum(solution.values()) <= few * 1.005 and sum(t for _, t in packing.plan(count, 4096)) <= few + 1
+
+
+def test_rounds_end_at_the_gap():
+    count = counts(n2048=1000)
+    taken, _, bound = packing.weigh(count, 4096)
+    assert bound == 500 and taken == {((2048, 2),): 500.0}
+    assert packing.weigh(np.zeros(4097, np.int64), 4096)[0] == {}
+
+
+def test_knapsack_of_few_and_of_many_lengths():
+    rng = np.random.default_rng(1)
+    for some in (7, 3000):
+        value = np.full(4097, -1.0)
+        value[rng.choice(np.arange(1, 4097), some, replace=False)] = rng.random(some)
+        sack = packing._Knapsack(value, 4096)
+        pattern = sack.filled(int(np.flatnonzero(value > 0)[0]))
+        assert sum(n * a for n, a in pattern) <= 4096
+        for c in rng.integers(1, 4097, 30).tolist():
+            want = max([sack.best[c - 1], *(value[n] + sack.best[c - n] for n in range(1, c + 1) if value[n] > 0)])
+            assert np.isclose(sack.best[c], want)
