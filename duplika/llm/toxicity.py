@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, id_class, lists, list_parts, lower_ascii, schema, slices, whole_text, word_hashes, word_spans
+from .common import bound_batches, buffers, id_class, lists, list_parts, lower_ascii, schema, slices, whole_text, word_hashes, word_spans
 
 BITS = 22
 _BEGINNINGS = (4, 5, 6)
@@ -59,12 +59,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = ((0.1, 5e-4), (1e-2, 5e-3), (1e-3, 1e-2))
 
 
-def paired_terms(features: list[np.ndarray], label: np.ndarray, seen: np.ndarray, min_share: float = 0.02, min_rows: int = 10, min_z: float = 6.0, block: int = 512) -> np.ndarray:
+#: Terms whose pairs are looked at, at most: the table of pairs is worked out in the driver, in time of the square of these.
+PAIR_TERMS = 6_000
+
+
+def paired_terms(
+    features: list[np.ndarray], label: np.ndarray, seen: np.ndarray, min_share: float = 0.02, min_rows: int = 10, min_z: float = 6.0, block: int = 512, most: int = PAIR_TERMS
+) -> np.ndarray:
     """Terms of a pair whose odds of a toxic row are over those its parts' own odds tell by ``min_z`` standard errors.
 
     The rows of the rarer class meet as many of the other one. A term has the support of ``min_share`` of the rows: one of
     less in a pair of 0.2 % of the rows or more differs between the classes by itself where a tenth of the rows are toxic;
-    terms in the same rows are tried as one.
+    terms in the same rows are tried as one. Of more than ``most`` such terms those are tried that divide the rows most evenly.
     """
     rng = np.random.default_rng(5)
     ill, well = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
@@ -75,6 +81,12 @@ def paired_terms(features: list[np.ndarray], label: np.ndarray, seen: np.ndarray
     for f, m in zip(features, mark, strict=True):
         own[f] += m
     _, first, same = np.unique(own[often], return_index=True, return_inverse=True)
+    if first.size > most:
+        even = np.abs(seen[often[first]] - label.size / 2)
+        tried = np.zeros(first.size, bool)
+        tried[np.argsort(even, kind="stable")[:most]] = True
+        often, own = often[tried[same]], None
+        first, same = np.unique(same[tried[same]], return_index=True, return_inverse=True)[1:]
     place = np.full(seen.size, -1, np.int32)
     place[often[first]] = np.arange(first.size, dtype=np.int32)
     held = [[f[f >= 0] for f in (place[features[i]] for i in part)] for part in rows]
@@ -214,10 +226,13 @@ def _score(bias: float, w: np.ndarray, v: np.ndarray, ids: np.ndarray, own: np.n
     return bias + np.bincount(own, w[ids], n) + 0.5 * ((total**2).sum(axis=1) - square), total
 
 
-def train_toxicity(labelled: DataFrame, max_rows: int = 20_000, **fitting) -> dict:
-    """Fit on (doc_id, text, toxic) rows; ``max_rows`` bounds the fit, by smallest hashed doc_id."""
+def train_toxicity(labelled: DataFrame, max_rows: int = 20_000, max_bytes: int = 256 << 20, **fitting) -> dict:
+    """Fit on (doc_id, text, toxic) rows; ``max_rows`` and ``max_bytes`` of text bound the fit, by smallest hashed doc_id."""
+    bound_batches(labelled.sparkSession)
     known = labelled.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
-    last = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    first = known.select(F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy("h").limit(max_rows)
+    before = F.sum("size").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")  # max_rows rows
+    last = first.select("h", before.alias("before")).where(F.col("before") < max_bytes).agg(F.max("h")).first()[0]
     features, label = [], []
     if last is not None:
         sample = known.where(F.xxhash64("doc_id") <= F.lit(last)).withColumn("text", F.coalesce("text", F.lit(""))).repartition(12, "doc_id").sortWithinPartitions("doc_id", "text")
