@@ -230,12 +230,16 @@ def train_toxicity(labelled: DataFrame, max_rows: int = 20_000, max_bytes: int =
     """Fit on (doc_id, text, toxic) rows; ``max_rows`` and ``max_bytes`` of text bound the fit, by smallest hashed doc_id."""
     bound_batches(labelled.sparkSession)
     known = labelled.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
-    first = known.select(F.xxhash64("doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).orderBy("h").limit(max_rows)
-    before = F.sum("size").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")  # max_rows rows
-    last = first.select("h", before.alias("before")).where(F.col("before") < max_bytes).agg(F.max("h")).first()[0]
+    h = F.xxhash64("doc_id")
+    last = known.select(h.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    if last is not None:  # of these rows, those within the bytes; texts of others are not moved
+        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+        sizes = known.where(h <= F.lit(last)).select(h.alias("h"), size.alias("size"))
+        before = F.sum("size").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+        last = sizes.select("h", before.alias("before")).where(F.col("before") < max_bytes).agg(F.max("h")).first()[0]
     features, label = [], []
     if last is not None:
-        sample = known.where(F.xxhash64("doc_id") <= F.lit(last)).withColumn("text", F.coalesce("text", F.lit(""))).repartition(12, "doc_id").sortWithinPartitions("doc_id", "text")
+        sample = known.where(h <= F.lit(last)).withColumn("text", F.coalesce("text", F.lit(""))).repartition(12, "doc_id").sortWithinPartitions("doc_id", "text")
         got = sample.select("toxic", "text").mapInArrow(_features, "toxic int, terms array<int>").toArrow()  # max_rows rows
         for chunk in got.to_batches():
             ids, offsets = list_parts(chunk.column("terms"))

@@ -38,9 +38,9 @@ def test_pair_without_effect_of_its_parts(spark, rate):
 def test_pairs_of_a_large_vocabulary_are_bounded():
     """Far more terms than are tried: time is that of the bound; with few terms the bound changes nothing."""
     rng = np.random.default_rng(4)
-    size, terms = 600, 30_000
+    size, terms = 3000, 30_000
     label = (rng.random(size) < 0.2).astype(np.int64)
-    features = [np.unique(rng.integers(0, terms, 3000)).astype(np.int32) for _ in range(size)]
+    features = [np.unique(rng.integers(0, terms, 1500)).astype(np.int32) for _ in range(size)]
     pair = np.flatnonzero(label)
     for i in range(size):
         own = [7, 9] if label[i] else [[7], [9], []][i % 3]
