@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, buffers, id_class, lists, list_parts, lower_ascii, schema, slices, whole_text, word_hashes, word_spans
+from .common import bound_batches, buffers, drop, id_class, lists, list_parts, lower_ascii, schema, slices, stage, whole_text, word_hashes, word_spans, workdir
 
 BITS = 22
 _BEGINNINGS = (4, 5, 6)
@@ -233,14 +233,14 @@ def train_toxicity(labelled: DataFrame, max_rows: int = 20_000, max_bytes: int =
     h = F.xxhash64("doc_id")
     last = known.select(h.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
     if last is not None:  # of these rows, those within the bytes; texts of others are not moved
-        size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-        sizes = known.where(h <= F.lit(last)).select(h.alias("h"), size.alias("size"))
+        folder = workdir(labelled.sparkSession)
+        rows = stage(known.where(h <= F.lit(last)).withColumn("text", F.coalesce("text", F.lit(""))), folder, "sample")  # max_rows rows
+        size = F.octet_length("text").cast("long")
         before = F.sum("size").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-        last = sizes.select("h", before.alias("before")).where(F.col("before") < max_bytes).agg(F.max("h")).first()[0]
-    features, label = [], []
-    if last is not None:
-        sample = known.where(h <= F.lit(last)).withColumn("text", F.coalesce("text", F.lit(""))).repartition(12, "doc_id").sortWithinPartitions("doc_id", "text")
-        got = sample.select("toxic", "text").mapInArrow(_features, "toxic int, terms array<int>").toArrow()  # max_rows rows
+        last = rows.select(h.alias("h"), size.alias("size")).select("h", before.alias("before")).where(F.col("before") < max_bytes).agg(F.max("h")).first()[0]
+        sample = rows.where(h <= F.lit(last)).repartition(12, "doc_id").sortWithinPartitions("doc_id", "text")
+        got = sample.select("toxic", "text").mapInArrow(_features, "toxic int, terms array<int>").toArrow()
+        drop(labelled.sparkSession, folder)
         for chunk in got.to_batches():
             ids, offsets = list_parts(chunk.column("terms"))
             features += [ids[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
