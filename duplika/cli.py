@@ -34,6 +34,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-error", type=open_range(0, 100), default=30)
     p.add_argument("--max-edit-error", type=open_range(0, 100), default=15)
     p.add_argument("--max-chromosome-size", type=int, default=300_000_000)
+    p.add_argument("--merge-dist", type=int, default=500, help="distance within which found boxes merge")
+    p.add_argument("--max-extend", type=int, default=5000, help="bases that a found box is padded with")
     p.add_argument("--kmer-size", type=int, default=14)
     p.add_argument("--winnow-size", type=int, default=16)
     p.add_argument("-v", "--version", action="version", version=__version__)
@@ -61,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     folder = args.resume or workdir(spark)
     settings = Settings(
         hard=args.hard, keep_contigs=args.keep_contigs, decomposition=not args.no_decomposition, max_error=args.max_error, max_edit_error=args.max_edit_error,
-        max_chromosome_size=args.max_chromosome_size, kmer_size=args.kmer_size, winnow_size=args.winnow_size,
+        max_chromosome_size=args.max_chromosome_size, merge_dist=args.merge_dist, pad=args.max_extend, kmer_size=args.kmer_size, winnow_size=args.winnow_size,
     )
     seqs = reduce(lambda a, b: a.unionByName(b), [read_fasta(spark, g) for g in args.genomes])
     out = run(seqs, settings, folder)

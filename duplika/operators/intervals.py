@@ -6,28 +6,45 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..staging import stage, workdir
 from .graph import components
 
 
-def _islands(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    opened = df.withColumn("_opens", F.when(F.col(start) < F.max(end).over(before), 0).otherwise(1))
-    island = F.sum("_opens").over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0))
-    return opened.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+def _carry(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], folds: dict[str, Column], backwards: bool = False) -> DataFrame:
+    """``keys, _bin`` and, for each name, what the bins before (or after) hold: ``sums`` of a bin, folded over the others.
 
+    A row for each bin of a key, however many rows these have; so a long key is scanned by all tasks, each bin from its carry on.
+    """
+    per = df.groupBy(*keys, "_bin").agg(*[v.alias(k) for k, v in sums.items()])
+    line = Window.partitionBy(*keys).orderBy(F.desc("_bin") if backwards else F.asc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    return per.select(*keys, "_bin", *[v.over(line).alias(k) for k, v in folds.items()])
+
+
+def _islands(df: DataFrame, keys: Sequence[str], start: str, end: str, bin_size: int) -> DataFrame:
+    one = [*keys, "_bin"]
+    line = Window.partitionBy(*one).orderBy(start, end)
+    held = df.withColumn("_bin", F.floor(F.col(start) / bin_size).cast("long"))
+    held = held.join(_carry(held, keys, {"_top": F.max(end)}, {"_top": F.max("_top")}), one)
+    before = F.greatest(F.max(end).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.col("_top"))  # of what is not null
+    opened = held.withColumn("_opens", F.when(F.col(start) < before, 0).otherwise(1)).drop("_top")
+    opened = opened.withColumn("_island", F.sum("_opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = opened.join(_carry(opened, keys, {"_n": F.sum("_opens")}, {"_n": F.sum("_n")}), one)
+    island = (F.col("_island") + F.coalesce("_n", F.lit(0))).alias("_island")
+    return numbered.select(*keys, start, end, island).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+#: Width of the bins that lines are scanned in.
+BIN = 1 << 20
 
-def union(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", bin_size: int | None = None) -> DataFrame:
+
+def union(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", bin_size: int = BIN) -> DataFrame:
     """Merged intervals of each key. Book-ended ones stay apart; empty ones are dropped.
 
-    With ``bin_size`` intervals are merged inside bins of their start first, so that a large key is
-    ordered in parallel and only the merged rest meets in one task.
+    A key's line is scanned in bins of its starts, each from what those before have reached.
     """
-    rows = df.where(F.col(start) < F.col(end)).select(*keys, start, end)
-    if bin_size:
-        rows = _islands(rows.withColumn("_bin", F.floor(F.col(start) / bin_size)), [*keys, "_bin"], start, end).drop("_bin")
-    return _islands(rows, keys, start, end)
+    return _islands(df.where(F.col(start) < F.col(end)).select(*keys, start, end), keys, start, end, bin_size)
 
 
 def _binned(df: DataFrame, start: str, end: str, bin_size: int) -> DataFrame:
@@ -64,16 +81,22 @@ def overlap_length(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
 
 
-def segments(df: DataFrame, keys: Sequence[str], tag: str, tags: Sequence[str]) -> DataFrame:
+def segments(df: DataFrame, keys: Sequence[str], tag: str, tags: Sequence[str], bin_size: int = BIN) -> DataFrame:
     """Break the line at every start and end; for each piece, how many intervals of each tag cover it.
 
-    A running sum of +1 at starts and -1 at ends; pieces that nothing covers are dropped.
+    A running sum of +1 at starts and -1 at ends, in bins with the sums of those before; pieces that nothing covers are dropped.
     """
     edges = df.where("start < end").select(*keys, tag, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
     steps = edges.groupBy(*keys, F.col("e.at").alias("start")).agg(*[F.sum(F.when(F.col(tag) == t, F.col("e.d")).otherwise(0)).alias(f"n_{t}") for t in tags])
-    line = Window.partitionBy(*keys).orderBy("start")
+    steps = steps.withColumn("_bin", F.floor(F.col("start") / bin_size).cast("long"))
+    before = _carry(steps, keys, {f"_n_{t}": F.sum(f"n_{t}") for t in tags}, {f"_n_{t}": F.sum(f"_n_{t}") for t in tags})
+    after = _carry(steps, keys, {"_next": F.min("start")}, {"_next": F.min("_next")}, backwards=True)
+    line = Window.partitionBy(*keys, "_bin").orderBy("start")
     upto = line.rowsBetween(Window.unboundedPreceding, 0)
-    out = steps.select(*keys, "start", F.lead("start").over(line).alias("end"), *[F.sum(f"n_{t}").over(upto).alias(f"n_{t}") for t in tags])
+    held = steps.join(before.join(after, [*keys, "_bin"]), [*keys, "_bin"])
+    out = held.select(
+        *keys, "start", F.coalesce(F.lead("start").over(line), "_next").alias("end"), *[(F.sum(f"n_{t}").over(upto) + F.coalesce(f"_n_{t}", F.lit(0))).alias(f"n_{t}") for t in tags]
+    )
     covered = sum((F.col(f"n_{t}") for t in tags), F.lit(0))
     return out.where(F.col("end").isNotNull() & (covered > 0))
 
@@ -105,25 +128,42 @@ def gap_to_next(df: DataFrame, keys: Sequence[str], start: str = "start", end: s
     return df.withColumn("gap", F.lead(start).over(line) - F.col(end))
 
 
-def last_before(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
+def last_before(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str, bin_size: int = BIN) -> DataFrame:
     """As-of lookup: for each point the ``value`` of its key's last event at or before it.
 
-    One union and one window; no range join.
+    One union and a window in bins of the line, each with the last value of those before; no range join.
     """
-    return _as_of(points, events, keys, at, value, F.asc)
+    return _as_of(points, events, keys, at, value, bin_size, False)
 
 
-def first_after(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
+def first_after(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str, bin_size: int = BIN) -> DataFrame:
     """As-of lookup forwards: for each point the ``value`` of its key's first event at or after it."""
-    return _as_of(points, events, keys, at, value, F.desc)
+    return _as_of(points, events, keys, at, value, bin_size, True)
+
 
+def _number(df: DataFrame, at: str) -> Column:
+    """A place as a number: seconds for dates and times."""
+    timely = isinstance(df.schema[at].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    return F.col(at).cast("timestamp").cast("double") if timely else F.col(at)
 
-def _as_of(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str, order) -> DataFrame:
+
+def _as_of(points: DataFrame, events: DataFrame, keys: Sequence[str], at: str, value: str, bin_size: int, forwards: bool) -> DataFrame:
+    of_bin = F.floor(_number(points, at) / bin_size).cast("long")
     both = points.withColumn("_event", F.lit(1)).withColumn(value, F.lit(None).cast(events.schema[value].dataType)).unionByName(
         events.select(*keys, at, value).withColumn("_event", F.lit(0)), allowMissingColumns=True
-    )
-    line = Window.partitionBy(*keys).orderBy(order(at), "_event").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(line)).where("_event = 1").drop("_event")
+    ).withColumn("_bin", of_bin)
+    nearest = F.min_by if forwards else F.max_by
+    told = both.where(F.col(value).isNotNull())
+    # Bins of points without an event need their carry too: their place is null, and so is what they give.
+    bins = told.select(*keys, "_bin", at, value).unionByName(points.select(*keys, of_bin.alias("_bin")).distinct(), allowMissingColumns=True)
+    carry = _carry(bins, keys, {"_value": nearest(value, at)}, {"_value": F.last("_value", ignorenulls=True)}, backwards=forwards)
+    line = Window.partitionBy(*keys, "_bin").orderBy(F.desc(at) if forwards else F.asc(at), "_event").rowsBetween(Window.unboundedPreceding, 0)
+    here = both.withColumn(value, F.last(value, ignorenulls=True).over(line)).where("_event = 1").drop("_event")
+    on = here["_bin"].eqNullSafe(carry["_bin"])
+    for k in keys:
+        on &= here[k].eqNullSafe(carry[k])
+    named = [here[c] if c != value else F.coalesce(here[value], carry["_value"]).alias(value) for c in here.columns if c != "_bin"]
+    return here.join(carry, on, "left").select(*named)
 
 
 def merge_boxes(boxes: DataFrame, keys: Sequence[str], dist: int = 500, most_rounds: int = 50, one_line: Column | None = None) -> DataFrame:

@@ -1,0 +1,154 @@
+"""Scans of one long key in bins: the same rows as one pass over the line."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from duplika.functions import cigar as C
+from duplika.operators import intervals, masking
+
+
+def spans(rng, n, reach):
+    return [(s := rng.randrange(reach), s + rng.choice((0, 1, 5, 40, 900))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("bins", [7, 100, 1 << 20])
+def test_union_and_segments(spark, bins):
+    rng = random.Random(bins)
+    rows = [(k, t, s, e) for k in "ab" for t in "uv" for s, e in spans(rng, 60, 3000)] + [("c", "u", 5, 9)]
+    df = spark.createDataFrame(rows, "k string, tag string, start long, end long")
+    want = set()
+    for k in "abc":
+        line = sorted((s, e) for j, _, s, e in rows if j == k and s < e)
+        out = []
+        for s, e in line:
+            if out and s < out[-1][1]:
+                out[-1][1] = max(out[-1][1], e)
+            else:
+                out.append([s, e])
+        want |= {(k, *x) for x in out}
+    assert set(map(tuple, intervals.union(df, ["k"], bin_size=bins).collect())) == want
+    got = intervals.segments(df, ["k"], "tag", ["u", "v"], bins).collect()
+    deep = Counter()
+    for r in got:
+        for b in range(r.start, r.end):
+            deep[r.k, b] = (r.n_u, r.n_v)
+    cover = {(k, b) for k, _, s, e in rows for b in range(s, e)}
+    assert set(deep) == cover and len(got) == len({(r.k, r.start) for r in got})
+    for k, b in rng.sample(sorted(cover), 200):
+        assert deep[k, b] == tuple(sum(j == k and t == tag and s <= b < e for j, t, s, e in rows) for tag in "uv")
+
+
+@pytest.mark.parametrize("bins", [5, 64, 1 << 20])
+def test_lookups(spark, bins):
+    rng = random.Random(bins)
+    events = [(k, p, p * 10) for k in "ab" for p in sorted(rng.sample(range(1000), 12))]
+    points = [(k, i, rng.randrange(-20, 1020)) for i, k in enumerate("ab" * 80)] + [("none", 999, 5), (None, 1000, 5), ("a", 1001, None)]
+    ev = spark.createDataFrame(events, "k string, at long, v long")
+    pt = spark.createDataFrame(points, "k string, id long, at long")
+    last = {r.id: r.v for r in intervals.last_before(pt, ev, ["k"], "at", "v", bins).collect()}
+    first = {r.id: r.v for r in intervals.first_after(pt, ev, ["k"], "at", "v", bins).collect()}
+    assert len(last) == len(first) == len(points)
+    for k, i, p in points:
+        if p is None:
+            continue
+        assert last[i] == max((e for j, e, _ in events if j == k and e <= p), default=None or -1) * 10 or (last[i] is None and not any(j == k and e <= p for j, e, _ in events))
+        assert first[i] == min((e for j, e, _ in events if j == k and e >= p), default=-1) * 10 or (first[i] is None and not any(j == k and e >= p for j, e, _ in events))
+
+
+
+def naive_lift(cigar_ops, x, y, rx, ry):
+    """Base by base: each base of the alignment in original places, gaps of the mask between them."""
+    at = lambda runs, p: max((r for r in runs if r[0] <= p))
+    place = lambda runs, p: p - at(runs, p)[0] + at(runs, p)[1]
+    out, steps = [], []
+    for n, op in cigar_ops:
+        for _ in range(n):
+            steps.append((op, place(rx, x), place(ry, y)))
+            x += op != "D"
+            y += op != "I"
+    for i, (op, lx, ly) in enumerate(steps):
+        out.append(op)
+        if i + 1 < len(steps):
+            _, nx, ny = steps[i + 1]
+            out += ["S"] * (nx - lx - (op != "D")) + ["N"] * (ny - ly - (op != "I"))
+    op, lx, ly = steps[-1]
+    packed = []
+    for o in out:
+        if packed and packed[-1][1] == o:
+            packed[-1][0] += 1
+        else:
+            packed.append([1, o])
+    return "".join(f"{n}{o}" for n, o in packed), steps[0][1], lx + (op != "D"), steps[0][2], ly + (op != "I")
+
+
+COLUMNS = "chr1 string, start1 long, end1 long, chr2 string, start2 long, end2 long, reference string, score double, strand1 string, strand2 string, max_len long, aln_len long, cigar string, optional string"
+
+
+def table(rng, length, runs):
+    out, off, orig = [], 0, rng.randint(0, 30)
+    for _ in range(runs):
+        size = max(1, length // runs)
+        out.append((off, orig, orig + size))
+        off, orig = off + size, orig + size + rng.randint(1, 50)
+    return [*out, (off, orig, orig)], off
+
+
+def test_lift_by_bins_is_that_of_each_base(spark):
+    rng = random.Random(17)
+    runs, known, pairs = [], {}, []
+    for c in ("c1", "c2"):
+        known[c], size = table(rng, 900, 37)
+        runs += [("g", c, *r) for r in known[c]]
+    for _ in range(25):
+        x, y, ops = rng.randrange(300), rng.randrange(300), []
+        for _ in range(rng.randint(1, 12)):
+            op = rng.choice([o for o in "MID" if not ops or ops[-1][1] != o])
+            ops.append((rng.randint(1, 60 if op == "M" else 9), op))
+        ex, ey = x + sum(n for n, o in ops if o != "D"), y + sum(n for n, o in ops if o != "I")
+        if ex < 800 and ey < 800:
+            pairs.append(("c1", x, ex, "c2", y, ey, "g:g", 1.0, "+", "+", 1, 1, "".join(f"{n}{o}" for n, o in ops), f"{len(pairs)}", ops))
+    df = spark.createDataFrame([p[:14] for p in pairs], COLUMNS)
+    run_table = spark.createDataFrame(runs, "species string, chrom string, masked_off long, orig_start long, orig_end long")
+    for bins in (16, 1 << 16):
+        got = {r.optional: (r.cigar, r.start1, r.end1, r.start2, r.end2) for r in masking.lift_pairs(df, run_table, bins).collect()}
+        assert len(got) == len(pairs) > 10
+        for p in pairs:
+            assert got[p[13]] == naive_lift(p[14], p[1], p[4], known["c1"], known["c2"]), p
+
+
+def test_many_runs_and_pairs_in_seconds(spark):
+    """10^5 runs x 10^3 pairs; none of it is gathered by chromosome."""
+    n = 100_000
+    runs = spark.range(n + 1).select(F.lit("g").alias("species"), F.lit("c").alias("chrom"), (F.col("id") * 20).alias("masked_off"), (F.col("id") * 25).alias("orig_start"), (F.col("id") * 25 + F.when(F.col("id") < n, 20).otherwise(0)).alias("orig_end"))
+    at = F.col("id") * 1900
+    fields = {"chr1": F.lit("c"), "start1": at, "end1": at + 90, "chr2": F.lit("c"), "start2": at + 1000, "end2": at + 1090, "reference": F.lit("g:g"), "score": F.lit(1.0), "strand1": F.lit("+"), "strand2": F.lit("+"), "max_len": F.lit(90), "aln_len": F.lit(90), "cigar": F.lit("90M"), "optional": F.lit("")}
+    pairs = spark.range(1000).select(*[v.alias(k) for k, v in fields.items()])
+    lifted_pairs = masking.lift_pairs(pairs, runs)
+    plan = lifted_pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(masked_off" not in plan
+    rows = lifted_pairs.collect()
+    assert len(rows) == 1000 and all(r.end1 - r.start1 in (110, 115) and r.cigar.count("M") >= 4 for r in rows)
+
+
+def test_operations_of_many_rows(spark):
+    rng = random.Random(2)
+    texts = ["".join(f"{rng.randint(1, 30)}{rng.choice('=XIDMSN')}" for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t, i * 3, i * 5) for i, t in enumerate(texts)] + [(900, None, 1, 1)], "id long, c string, x long, y long")
+    ops = C.parse(F.col("c"))
+    rows = {r.id: r for r in df.select("id", C.render(C.merge_runs(ops)).alias("m"), C.walk(ops, F.col("x"), F.col("y")).alias("w")).collect()}
+    assert rows[900].m is None and rows[900].w is None
+    for i, t in enumerate(texts):
+        parts, x, y, want, merged = [], i * 3, i * 5, [], []
+        for n, op in __import__("re").findall(r"(\d+)(.)", t):
+            parts.append((int(n), op))
+        for n, op in parts:
+            want.append((x, y, n, op))
+            x, y = x + n * (op in "=XMIS"), y + n * (op in "=XMDN")
+            if merged and merged[-1][1] == op:
+                merged[-1][0] += n
+            else:
+                merged.append([n, op])
+        assert [tuple(s) for s in rows[i].w] == want and rows[i].m == "".join(f"{n}{o}" for n, o in merged)
