@@ -473,7 +473,7 @@ def chain_dp(spark, sf_dir):
 
 def _aligned(spark, sf_dir, folder: str) -> DataFrame:
     settings, seqs = repeats.Settings(), _corpus(spark, sf_dir)
-    return repeats.align(repeats.search(seqs, settings, f"{folder}/search"), seqs, settings, f"{folder}/align")
+    return repeats.align(repeats.search_classes(seqs, settings, f"{folder}/search"), seqs, settings, f"{folder}/align", repeats.members_of(seqs))
 
 
 @query()
