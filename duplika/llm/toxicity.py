@@ -141,7 +141,7 @@ def _kept(features: list[np.ndarray], label: np.ndarray, min_rows: int = 3, min_
     """Terms in ``min_rows`` rows or more that differ between the classes by ``min_z`` standard errors, alone or in a pair."""
     flat = np.concatenate(features)
     seen = np.bincount(flat, minlength=1 << BITS)
-    toxic = np.bincount(flat, np.repeat(label, [f.size for f in features]), minlength=1 << BITS)
+    toxic = np.bincount(np.concatenate([flat[:0], *(f for f, l in zip(features, label.tolist(), strict=True) if l == 1)]), minlength=1 << BITS)
     n1, n0 = label.sum(), label.size - label.sum()
     spread = seen / label.size * (1 - seen / label.size) * (1 / n1 + 1 / n0)
     z = (toxic / n1 - (seen - toxic) / n0) / np.sqrt(np.maximum(spread, 1e-12))
