@@ -70,6 +70,7 @@ def main(argv: list[str] | None = None) -> int:
     write_pairs(out["pairs"], f"{args.output}/pairs")
     if "elements" in out:
         write_elements(out["elements"], f"{args.output}/elements")
+    out["measures"].coalesce(1).write.mode("overwrite").json(f"{args.output}/measures")
     if not args.keep_temp and not args.resume:
         drop(spark, folder)
     return 0

@@ -11,6 +11,7 @@ from ..functions import cigar as C
 from ..functions import sequence as Q
 from ..operators import anchors as A
 from ..operators import evaluate, intervals, masking, seeds
+from ..operators.analyze import analyze
 from ..operators.deal import deal
 from ..operators.graph import components
 from ..staging import stage, workdir
@@ -276,6 +277,30 @@ def lead_gap(spark, sf_dir):
     return intervals.gap_to_next(spans, ["user_id"]).select("user_id", "start", "gap").where("gap is not null")
 
 
+#: Soft-masked sequences against their reverse complements; all unmasked bases but two are columns, the two are deleted and inserted.
+@query(f"""WITH {_SEQS}, r AS (SELECT chrom AS id, 'A' || replace(seq, 'GAT', 'gat') || 'A' AS a FROM seqs),
+s AS (SELECT id, a, reverse(translate(a, 'ACGTacgt', 'TGCAtgca')) AS b FROM r),
+k AS (SELECT id, length(a) AS size, regexp_replace(a, '[acgt]', '', 'g') AS x, regexp_replace(b, '[acgt]', '', 'g') AS y FROM s),
+n AS (SELECT *, length(x) AS kept, length(x) - 2 AS m, size - length(x) AS masked FROM k),
+p AS (SELECT id, unnest(string_split(x[:m], '')) AS p, unnest(string_split(y[:m], '')) AS q FROM n WHERE m > 0),
+c AS (SELECT id, sum((p = q)::INT)::BIGINT AS same, sum((p || q IN ('AG', 'GA', 'CT', 'TC'))::INT)::BIGINT AS ti FROM p GROUP BY id),
+d AS (SELECT n.id, kept::BIGINT AS kept, m::BIGINT AS m, masked::BIGINT AS masked, (4 + 2 * masked)::BIGINT AS gaps, coalesce(same, 0)::BIGINT AS same, coalesce(ti, 0)::BIGINT AS ti FROM n LEFT JOIN c ON c.id = n.id)
+SELECT id, round((m - same + gaps)::DOUBLE / (gaps + m), 6) AS error, kept + masked AS span, gaps + m AS columns, masked + 2 AS indel_a, masked + 2 AS indel_b,
+  m AS aligned, same AS matches, m - same AS mismatches, ti AS transitions, m - same - ti AS transversions, gaps, kept AS upper_a, kept AS upper_b,
+  CASE WHEN m > 0 THEN round(same::DOUBLE / m, 6) END AS match_share, round(same::DOUBLE / (gaps + m), 6) AS match_share_all,
+  round(CASE WHEN 1 - 4 * ((m - same)::DOUBLE / kept) / 3 > 0 THEN -0.75 * ln(1 - 4 * ((m - same)::DOUBLE / kept) / 3) END, 6) AS jukes_cantor,
+  round(CASE WHEN 1 - 2 * (ti::DOUBLE / kept) - (m - same - ti)::DOUBLE / kept > 0 AND 1 - 2 * ((m - same - ti)::DOUBLE / kept) > 0
+    THEN -0.5 * ln(1 - 2 * (ti::DOUBLE / kept) - (m - same - ti)::DOUBLE / kept) - 0.25 * ln(1 - 2 * ((m - same - ti)::DOUBLE / kept)) END, 6) AS kimura FROM d""")
+def pair_measures(spark, sf_dir):
+    a = F.concat(F.lit("A"), F.replace("seq", F.lit("GAT"), F.lit("gat")), F.lit("A"))
+    rows = _seqs(spark, sf_dir).select(F.col("chrom").alias("id"), a.alias("a"))
+    columns = F.length(F.regexp_replace("a", "[acgt]", "")) - 2
+    pairs = rows.select("id", "a", Q.reverse_complement(F.col("a")).alias("b"), F.concat(columns.cast("string"), F.lit("M2D2I")).alias("cigar"))
+    shares = ("error", "match_share", "match_share_all", "jukes_cantor", "kimura")
+    found = analyze(pairs).drop("masked_cigar", "identity", "upper_columns", "mismatch_percent", "gap_percent")
+    return found.select([F.round(c, 6).alias(c) if c in shares else c for c in found.columns])
+
+
 @query("""WITH f AS (SELECT l_orderkey AS k, l_linenumber * 10 AS s, l_linenumber * 10 + l_quantity::BIGINT AS e, l_returnflag = 'R' AS core FROM lineitem),
 b AS (SELECT DISTINCT k, unnest(range(s, e)) AS b FROM f),
 c AS (SELECT o_custkey, o_orderkey, count(b) AS covered FROM orders LEFT JOIN b ON k = o_orderkey AND b >= 10 AND b < 50 GROUP BY 1, 2),
