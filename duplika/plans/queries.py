@@ -14,6 +14,8 @@ from ..operators import evaluate, intervals, masking, seeds
 from ..operators.analyze import analyze
 from ..operators.deal import deal
 from ..operators.graph import components
+from ..sources.fasta import write_fasta
+from ..sources.fasta_ranges import read_ranges, write_index
 from ..staging import stage, workdir
 from . import repeats
 
@@ -479,6 +481,16 @@ def concat_all(spark, sf_dir):
     return nation.unionByName(_t(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")))
 
 
+@query(f"""WITH {_SEQS}, r AS (SELECT chrom, seq, unnest(range(0, length(seq), 1000)) AS start FROM seqs)
+SELECT chrom, start::BIGINT AS start, md5(substr(seq, start + 1, 1000)) AS digest FROM r""")
+def fasta_ranges(spark, sf_dir):
+    """The sequences written as FASTA, indexed and read back by byte ranges in rows of 1,000 bases."""
+    path = f"{workdir(spark)}/sequences"
+    write_fasta(_seqs(spark, sf_dir), path)
+    write_index(spark, path)
+    return read_ranges(spark, path, 1000).select("chrom", "start", F.md5("seq").alias("digest"))
+
+
 # --- kernels over whole tables; tested against brute force -----------------------------------
 
 

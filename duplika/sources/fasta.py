@@ -13,7 +13,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``species, chrom, seq``: a row a record; the name is the header's first token, the species the file's stem."""
     # A record ends before a ">" that begins a line; only a file's first record keeps its own.
     record = F.regexp_replace("value", r"^\s*>", "").alias("value")
-    rows = spark.read.option("lineSep", "\n>").text(path).select(species_name(F.col("_metadata.file_path")).alias("species"), record).where(F.trim("value") != "")
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # the path is a URI; a plus sign in it is one
+    rows = spark.read.option("lineSep", "\n>").text(path).select(species_name(file).alias("species"), record).where(F.trim("value") != "")
     header = F.split(F.regexp_extract("value", r"^([^\n]*)", 1), r"\s+")
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s+", "")
     return rows.select("species", header[0].alias("chrom"), seq.alias("seq"))
