@@ -302,11 +302,14 @@ class _Reader(DataSourceReader):
             system, inner = _place(file)
             species = posixpath.splitext(posixpath.basename(inner))[0].replace("#", "")
             with system.open_input_file(inner) as raw:
+                size = raw.size()
                 for e in entries(file):
                     if e.offset >= end:
                         break
                     if self.chroms is not None and e.chrom not in self.chroms:
                         continue
+                    if e.length and e.byte(e.length - 1) >= size:
+                        raise ValueError(f"{file}: the index does not fit {e.chrom}")
                     first, last = self._rows(e)
                     # A row is read where its first base lies.
                     first = max(first, -(-e.base(begin) // self.row_bases))
