@@ -34,6 +34,11 @@ def _mins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.minimizers(_seqs(spark, sf_dir), K, W)
 
 
+def _kept_mins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimizers written once, for plans that read them several times."""
+    return stage(_mins(spark, sf_dir), workdir(spark), "minimizers")
+
+
 _SEQS = """seqs AS (SELECT source AS species, 'doc' || doc_id AS chrom, regexp_replace(translate(lower(coalesce(text, '')),
   'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS seq FROM documents)"""
 
@@ -137,14 +142,12 @@ def minimizers(spark, sf_dir):
 s AS (SELECT n, sum(c) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS above FROM h)
 SELECT coalesce(min(n), 2147483648)::BIGINT AS threshold FROM s WHERE above <= floor((SELECT count(*) FROM mins) * 0.001)""")
 def freq_cutoff(spark, sf_dir):
-    counts = seeds.frequency_histogram(_mins(spark, sf_dir))
-    total = counts.agg(F.sum(F.col("list_len") * F.col("n_keys"))).first()[0] or 0
-    return seeds.frequency_cutoff(counts, total)
+    return seeds.frequency_cutoff(seeds.frequency_histogram(_mins(spark, sf_dir)))
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM pairs")
 def seed_pairs(spark, sf_dir):
-    return seeds.seed_pairs(_mins(spark, sf_dir), MAX_LIST, MIN_SHARED)
+    return seeds.seed_pairs(_kept_mins(spark, sf_dir), MAX_LIST, MIN_SHARED)
 
 
 @query(f"""WITH {_MINS}, rseqs AS (SELECT species, chrom, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM seqs), {_kmers_sql(K, 'rseqs', 'rkmers')}, {_mins_sql('rkmers', 'rmins')},
@@ -167,7 +170,7 @@ def genome_pairs(spark, sf_dir):
 inside AS (SELECT * FROM listed l WHERE EXISTS (SELECT 1 FROM mins m JOIN own USING (species, kmer) WHERE m.species = l.species AND m.chrom = l.chrom AND l.pos >= m.pos AND l.pos < m.pos + 200))
 SELECT a.species AS species_x, a.chrom AS chrom_x, b.species AS species_y, b.chrom AS chrom_y, count(*) AS shared FROM listed a JOIN inside b ON a.kmer = b.kmer AND a.species < b.species GROUP BY ALL""")
 def cross_seed(spark, sf_dir):
-    mins = _mins(spark, sf_dir)
+    mins = _kept_mins(spark, sf_dir)
     own = mins.groupBy("species", "kmer").agg(F.count("*").alias("m")).where("m > 1").select("species", "kmer")
     regions = mins.join(own, ["species", "kmer"]).select("species", "chrom", F.col("pos").alias("start"), (F.col("pos") + 200).alias("end"))
     hits = seeds.cross_seed_hits(mins, regions, MAX_LIST)
@@ -200,7 +203,7 @@ r AS (SELECT chrom_a, chrom_b, x - y AS d, g, min(CASE WHEN few THEN x END) AS x
 SELECT chrom_a, chrom_b, x, x - d AS y, e - x AS len FROM r WHERE x IS NOT NULL""")
 def anchors(spark, sf_dir):
     seqs = _seqs(spark, sf_dir)
-    pairs = seeds.seed_pairs(seeds.minimizers(seqs, K, W), MAX_LIST, MIN_SHARED)
+    pairs = seeds.seed_pairs(_kept_mins(spark, sf_dir), MAX_LIST, MIN_SHARED)
     pairs = stage(pairs.withColumn("hit_id", F.monotonically_increasing_id()), workdir(spark), "pairs")
     a, b = seqs.select(F.col("chrom").alias("chrom_a"), F.col("seq").alias("seq_x")), seqs.select(F.col("chrom").alias("chrom_b"), F.col("seq").alias("seq_y"))
     hits = pairs.join(a, "chrom_a").join(b, "chrom_b").withColumn("same_chrom", F.lit(False))
