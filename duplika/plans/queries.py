@@ -14,6 +14,7 @@ from ..operators import evaluate, intervals, masking, seeds
 from ..operators.analyze import analyze
 from ..operators.deal import deal
 from ..operators.graph import components
+from ..operators.tree import complete, neighbour_joining
 from ..sources.fasta import write_fasta
 from ..sources.fasta_ranges import read_ranges, write_index
 from ..staging import stage, workdir
@@ -463,6 +464,15 @@ def set_distance(spark, sf_dir):
     return evaluate.set_distance(_mins(spark, sf_dir), "species", "kmer")
 
 
+@query()
+def join_tree(spark, sf_dir):
+    """The tree of the species by neighbour joining over the distances of their minimizer sets."""
+    mins, folder = _kept_mins(spark, sf_dir), workdir(spark)
+    names = _seqs(spark, sf_dir).select(F.col("species").alias("name"))
+    distances = stage(complete(names, evaluate.set_distance(mins, "species", "kmer")), folder, "distances")
+    return neighbour_joining(distances, folder)
+
+
 # --- order and distribution --------------------------------------------------------------------
 
 
