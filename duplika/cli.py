@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-decomposition", action="store_true")
     p.add_argument("--max-error", type=open_range(0, 100), default=30)
     p.add_argument("--max-edit-error", type=open_range(0, 100), default=15)
-    p.add_argument("--max-chromosome-size", type=int, default=300_000_000)
+    p.add_argument("--max-chromosome-size", type=int, default=300_000_000, help="bases from which on a pair of sequences is searched by tiles of this size")
     p.add_argument("--merge-dist", type=int, default=500, help="distance within which found boxes merge")
     p.add_argument("--max-extend", type=int, default=5000, help="bases that a found box is padded with")
     p.add_argument("--kmer-size", type=int, default=14)

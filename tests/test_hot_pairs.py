@@ -69,3 +69,35 @@ def test_searches_split_or_whole(spark):
     seqs = spark.createDataFrame([("s", f"c{i}", text(400) + unit + text(2500) + evaluate.mutate(unit, 0.03, 0.01, rng) + text(100)) for i in range(4)], "species string, chrom string, seq string")
     got = [rows(repeats.search_chains(seqs, s, workdir(spark))) for s in (SETTINGS, replace(SETTINGS, pair_seeds=10))]
     assert got[0] == got[1] and len(got[0]) > 10
+
+
+def test_tiles_of_ten_kilobases_have_the_same_chains(spark):
+    """Islands across a tile's border stay whole, in the tile in which they begin; pairs of many seeds stay cut by islands."""
+    rng = random.Random(9)
+    data = seeds_of(rng, True, [(0, 300), (9_000, 400), (24_000, 100), (26_000, 60), (39_000, 300)]) + seeds_of(rng, False, [(100, 150), (9_700, 190), (70_000, 250)])
+    data += [("s", "c5", "s", "c6", False, True, 1, 1)]
+    hits = spark.createDataFrame(data, "species_x string, chrom_x string, species_y string, chrom_y string, own boolean, rc boolean, x long, y long")
+    whole, tiled, both = (
+        rows(repeats.chain_seeds(hits, s))
+        for s in (SETTINGS, replace(SETTINGS, max_chromosome_size=10_000), replace(SETTINGS, max_chromosome_size=10_000, pair_seeds=1_500))
+    )
+    assert whole == tiled == both and len(whole) > 10
+    large = hits.groupBy(COLUMNS[:5]).agg(F.count("*").alias("n")).where("n > 1")
+    parts = repeats.split_pairs(hits, large, SETTINGS.max_gap, tile=10_000, tiled=F.lit(True))
+    got = {(r.own, r.rc, r.part // 2): r for r in parts.groupBy("own", "rc", "part").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()}
+    assert {(o, k) for o, _, k in got} == {(True, 0), (True, 2), (True, 3), (False, 0), (False, 7)}
+    assert all(k * 10_000 - SETTINGS.max_gap < r.low < (k + 1) * 10_000 for (_, _, k), r in got.items())
+    assert got[(True, False, 0)].high > 11_000 and got[(True, False, 3)].high > 40_500
+
+
+@pytest.mark.parametrize("size", [500, 10_000])
+def test_whole_searches_tiled_or_not(spark, size):
+    """The search of long contigs, within and between, by tiles: other tasks, the same chains."""
+    rng = random.Random(10)
+    unit = evaluate.random_sequence(1_500, rng)
+    text = lambda n: evaluate.random_sequence(n, rng)
+    seqs = [("s", f"c{i}", "".join(text(6_000) + evaluate.mutate(unit, 0.03, 0.01, rng) for _ in range(4)) + text(300)) for i in range(3)]
+    seqs = spark.createDataFrame(seqs, "species string, chrom string, seq string")
+    folder = workdir(spark)
+    got = [rows(repeats.search_chains(seqs, s, f"{folder}/{i}")) for i, s in enumerate((SETTINGS, replace(SETTINGS, max_chromosome_size=size)))]
+    assert got[0] == got[1] and len(got[0]) > 50
