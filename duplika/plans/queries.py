@@ -14,7 +14,11 @@ from ..operators import evaluate, intervals, masking, seeds
 from ..operators.analyze import analyze
 from ..operators.deal import deal
 from ..operators.graph import components
+from ..operators.regions import region_distances as region_distances_of
+from ..operators.regions import region_groups as region_groups_of
+from ..operators.regions import write_region_groups
 from ..operators.tree import complete, neighbour_joining
+from ..sources import tables
 from ..sources.fasta import write_fasta
 from ..sources.fasta_ranges import read_ranges, write_index
 from ..staging import stage, workdir
@@ -539,3 +543,109 @@ def decompose(spark, sf_dir):
     pairs = stage(_aligned(spark, sf_dir, folder).withColumn("pair_id", F.monotonically_increasing_id()), folder, "pairs")
     members = repeats.cluster_members(pairs, repeats.cluster(pairs, f"{folder}/cluster"), seqs)
     return repeats.cover(stage(repeats.decompose(members), folder, "elements"), pairs, f"{folder}/cover")
+
+
+# --- sources and sinks: tables written in each format and read back -----------------------------------
+
+_ELEMENTS_SQL = """elements AS (SELECT l_linestatus AS species, 'c' || l_suppkey % 7 AS chrom, l_orderkey % 1000000 AS start, l_orderkey % 1000000 + l_quantity::BIGINT AS "end",
+  'e' || l_partkey AS id, l_quantity::BIGINT AS len, l_linenumber::BIGINT AS score, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand,
+  CASE WHEN l_returnflag = 'A' THEN 'CORE' END AS core FROM lineitem)"""
+
+
+def _spread(name: str, n: int):
+    return F.concat(F.lit(name), (F.col("l_suppkey") % n).cast("string"))
+
+
+def _elements(spark, sf_dir) -> DataFrame:
+    """Line items as elements."""
+    start, n = F.col("l_orderkey").cast("long") % 1_000_000, F.col("l_quantity").cast("long")
+    return _t(spark, sf_dir, "lineitem").select(
+        F.col("l_linestatus").alias("species"), _spread("c", 7).alias("chrom"), start.alias("start"), (start + n).alias("end"), F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("id"),
+        n.alias("len"), F.col("l_linenumber").cast("long").alias("score"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), F.when(F.col("l_returnflag") == "A", "CORE").alias("core"),
+    )
+
+
+@query(f"WITH {_ELEMENTS_SQL} SELECT * FROM elements")
+def elements_io(spark, sf_dir):
+    path = f"{workdir(spark)}/elements"
+    tables.write_elements(_elements(spark, sf_dir), path)
+    return tables.read_elements(spark, path)
+
+
+@query("""SELECT 'c' || l_suppkey % 7 AS chr1, l_orderkey::BIGINT AS start1, l_orderkey + l_quantity::BIGINT AS end1, 'd' || l_suppkey % 5 AS chr2, l_partkey::BIGINT AS start2, l_partkey + l_quantity::BIGINT + 1 AS end2,
+  l_linestatus || ':' || l_returnflag AS reference, l_discount::DOUBLE AS score, '+' AS strand1, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand2,
+  l_quantity::BIGINT + 1 AS max_len, l_quantity::BIGINT + 1 AS aln_len, l_quantity::BIGINT || 'M1D' AS cigar, 'X=' || l_linenumber || ';ID=0' AS optional FROM lineitem""")
+def pairs_io(spark, sf_dir):
+    """Pair tables: checked, written, read back."""
+    n, s, e = F.col("l_quantity").cast("long"), F.col("l_orderkey").cast("long"), F.col("l_partkey").cast("long")
+    pairs = _t(spark, sf_dir, "lineitem").select(
+        _spread("c", 7).alias("chr1"), s.alias("start1"), (s + n).alias("end1"), _spread("d", 5).alias("chr2"), e.alias("start2"), (e + n + 1).alias("end2"),
+        F.concat_ws(":", "l_linestatus", "l_returnflag").alias("reference"), F.col("l_discount").cast("double").alias("score"), F.lit("+").alias("strand1"),
+        F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand2"), (n + 1).alias("max_len"), (n + 1).alias("aln_len"), F.concat(n.cast("string"), F.lit("M1D")).alias("cigar"),
+        F.concat(F.lit("X="), F.col("l_linenumber").cast("string"), F.lit(";ID=0")).alias("optional"),
+    )
+    path = f"{workdir(spark)}/pairs"
+    tables.write_pairs(pairs, path)
+    return tables.read_pairs(spark, path)
+
+
+@query("""WITH p AS (SELECT CASE l_suppkey % 7 WHEN 0 THEN 'chrM' WHEN 1 THEN 'chr1_alt' ELSE 'chr' || l_suppkey % 7 END AS chr1, l_orderkey::BIGINT AS start1, l_orderkey + l_quantity::BIGINT AS end1,
+  'chr' || l_linenumber AS chr2, l_partkey::BIGINT AS start2, l_partkey + 30 AS end2, '+' AS strand1, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand2 FROM lineitem)
+SELECT chr1, start1, end1, chr2, start2, end2::BIGINT AS end2, strand1, strand2 FROM p WHERE end1 - start1 >= 10 AND chr1 NOT LIKE '%\\_%' ESCAPE '\\' AND chr1 <> 'chrM'""")
+def foreign_pairs(spark, sf_dir):
+    """Tables of another tool, with a header: pairs of 10 bases or more between main contigs."""
+    contig = F.when(F.col("l_suppkey") % 7 == 0, "chrM").when(F.col("l_suppkey") % 7 == 1, "chr1_alt").otherwise(_spread("chr", 7))
+    s, e, n = F.col("l_orderkey").cast("long"), F.col("l_partkey").cast("long"), F.col("l_quantity").cast("long")
+    columns = [contig, s, s + n, F.lit("x"), F.lit("y"), F.when(F.col("l_returnflag") == "R", "_").otherwise("+"), F.concat(F.lit("chr"), F.col("l_linenumber").cast("string")), e, e + 30]
+    lines = _t(spark, sf_dir, "lineitem").select(F.concat_ws("\t", *[c.cast("string") for c in columns]).alias("value"))
+    path = f"{workdir(spark)}/foreign"
+    lines.write.text(path)
+    spark.range(1).select(F.lit("chrom\tchromStart\tchromEnd\tname\tscore\tstrand\totherChrom\totherStart\totherEnd").alias("value")).write.mode("append").text(path)
+    return tables.read_foreign(spark, path, "wgac", 10, True)
+
+
+_REGIONS_SQL = "regions AS (SELECT DISTINCT chrom, (start // 250000) * 250000 AS start, (start // 250000 + 1) * 250000 AS \"end\", chrom || (start // 250000) AS label FROM elements)"
+_GROUPS_SQL = f"""WITH {_ELEMENTS_SQL}, {_REGIONS_SQL}, held AS (SELECT e.chrom, r.start AS region_start, r."end" AS region_end, label, e.start, e."end" - e.start AS len, id, strand
+  FROM elements e JOIN regions r ON e.chrom = r.chrom AND e.start > r.start AND e."end" < r."end")"""
+
+
+def _region_groups(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Groups of at most four regions a contig, the regions read from their file."""
+    path, held = f"{workdir(spark)}/regions", _elements(spark, sf_dir)
+    quarter = F.floor(F.col("start") / 250_000).cast("long")
+    spans = held.select("chrom", (quarter * 250_000).alias("start"), ((quarter + 1) * 250_000).alias("end"), F.concat("chrom", quarter.cast("string")).alias("label")).distinct()
+    spans.write.option("sep", "\t").csv(path)
+    regions = tables.read_labelled_regions(spark, path)
+    return region_groups_of(held, regions), regions
+
+
+@query(f"{_GROUPS_SQL} SELECT * FROM held")
+def region_groups(spark, sf_dir):
+    """Elements strictly inside labelled regions, written and read back."""
+    groups, _ = _region_groups(spark, sf_dir)
+    path = f"{workdir(spark)}/groups"
+    write_region_groups(groups, path)
+    return spark.read.option("sep", "\t").schema("chrom string, region_start long, region_end long, label string, start long, len long, id string, strand string").csv(path)
+
+
+@query(f"""{_GROUPS_SQL}, s AS (SELECT DISTINCT label, id FROM held), n AS (SELECT label, count(id) AS n FROM regions LEFT JOIN s USING (label) GROUP BY label),
+b AS (SELECT a.label AS i, c.label AS j, count(*) AS both_ FROM s a JOIN s c ON a.id = c.id AND a.label < c.label GROUP BY 1, 2)
+SELECT a.label AS label_i, c.label AS label_j, round(1 - (a.n - coalesce(both_, 0))::DOUBLE / (a.n + c.n - coalesce(both_, 0)), 6) AS distance
+FROM n a JOIN n c ON a.label < c.label LEFT JOIN b ON b.i = a.label AND b.j = c.label WHERE a.n > coalesce(both_, 0)""")
+def region_distances(spark, sf_dir):
+    return region_distances_of(*_region_groups(spark, sf_dir))
+
+
+@query(f"""WITH {_ELEMENTS_SQL}, m AS (SELECT *, max("end") OVER (PARTITION BY species, chrom, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM elements)
+SELECT (SELECT sum("end" - start)::BIGINT FROM elements) AS total, sum(greatest(0, "end" - greatest(start, coalesce(before, start))))::BIGINT AS covered FROM m""")
+def element_coverage(spark, sf_dir):
+    """Bases of all elements, and of what they cover together."""
+    held = _elements(spark, sf_dir)
+    return repeats.coverage(held, held)
+
+
+@query("SELECT l_linestatus, l_returnflag, sum(l_linenumber)::BIGINT AS hits, sum(l_quantity::BIGINT)::BIGINT AS bases FROM lineitem GROUP BY 1, 2")
+def stats_roll_up(spark, sf_dir):
+    """Counts of many rows summed over the settings they were made with."""
+    stats = _t(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", F.col("l_linenumber").cast("long").alias("hits"), F.col("l_quantity").cast("long").alias("bases"))
+    return evaluate.roll_up(stats, ["l_linestatus", "l_returnflag"])
