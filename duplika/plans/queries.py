@@ -19,7 +19,7 @@ from ..operators.regions import region_groups as region_groups_of
 from ..operators.regions import write_region_groups
 from ..operators.tree import complete, neighbour_joining
 from ..sources import tables
-from ..sources.fasta import write_fasta
+from ..sources.fasta import contig_index, parse_cluster_header, read_fai, read_fasta, write_cluster_fasta, write_fasta
 from ..sources.fasta_ranges import read_ranges, write_index
 from ..staging import stage, workdir
 from . import repeats
@@ -649,3 +649,61 @@ def stats_roll_up(spark, sf_dir):
     """Counts of many rows summed over the settings they were made with."""
     stats = _t(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", F.col("l_linenumber").cast("long").alias("hits"), F.col("l_quantity").cast("long").alias("bases"))
     return evaluate.roll_up(stats, ["l_linestatus", "l_returnflag"])
+
+
+_MEMBERS_SQL = f"""{_SEQS}, members AS (SELECT species, chrom, seq, length(seq) AS n, CASE WHEN length(seq) % 3 = 0 THEN '-' ELSE '+' END AS strand, length(seq) % 1000 AS start FROM seqs WHERE length(seq) > 0)"""
+
+
+@query(f"""WITH {_MEMBERS_SQL} SELECT species, chrom, CASE WHEN strand = '-' THEN '_' ELSE '+' END AS strand, start::BIGINT AS start, (start + n)::BIGINT AS "end",
+  CASE WHEN strand = '-' THEN start + n // 2 ELSE start END::BIGINT AS half_start, CASE WHEN strand = '-' THEN start + n ELSE start + n - n // 2 END::BIGINT AS half_end, md5(seq) AS digest FROM members""")
+def cluster_fasta_io(spark, sf_dir):
+    """Stretches of clusters as FASTA, a folder a cluster, with what their headers tell; the first half of each put in forward coordinates."""
+    n = F.length("seq").cast("long")
+    rows = _seqs(spark, sf_dir).withColumns({"cluster": n % 5, "strand": F.when(n % 3 == 0, "-").otherwise("+"), "start": n % 1000, "end": n % 1000 + n})
+    path = f"{workdir(spark)}/clusters"
+    write_cluster_fasta(rows, path)
+    back = read_fasta(spark, f"{path}/*").select(parse_cluster_header(F.col("chrom")).alias("head"), "seq").select("head.*", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("digest"))
+    half = F.col("n") - F.floor(F.col("n") / 2)
+    low, high = Q.to_forward(F.lit(0).cast("long"), half, F.col("n"))
+    turned, at = F.col("strand") == "_", F.col("start")
+    return back.select(
+        "species", "chrom", "strand", "start", "end", F.when(turned, at + low).otherwise(at).cast("long").alias("half_start"),
+        F.when(turned, at + high).otherwise(at + half).cast("long").alias("half_end"), "digest",
+    )
+
+
+@query(f"WITH {_SEQS}, named AS (SELECT CASE length(seq) % 4 WHEN 0 THEN chrom || '_alt' WHEN 1 THEN 'chrM' ELSE chrom END AS chrom, length(seq) AS len FROM seqs) SELECT chrom, len FROM named WHERE chrom <> 'chrM' AND position('_' IN chrom) = 0")
+def fai_io(spark, sf_dir):
+    """The index of the sequences written and read back, of main contigs alone."""
+    rest = F.length("seq") % 4
+    named = _seqs(spark, sf_dir).withColumn("chrom", F.when(rest == 0, F.concat("chrom", F.lit("_alt"))).when(rest == 1, "chrM").otherwise(F.col("chrom")))
+    path = f"{workdir(spark)}/index"
+    contig_index(named).select("chrom", "len", F.lit(0), F.lit(80), F.lit(81)).write.option("sep", "\t").csv(path)
+    return read_fai(spark, path).where(Q.valid_contig(F.col("chrom")))
+
+
+@query(f"""WITH {_ELEMENTS_SQL}, m AS (SELECT chrom, start, "end", max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM elements),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR start >= before THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT chrom, min(start) AS start, max("end") AS "end" FROM n GROUP BY chrom, island""")
+def regions_io(spark, sf_dir):
+    """Merged stretches of all elements as a region list, written and read back."""
+    path = f"{workdir(spark)}/regions"
+    tables.write_regions(intervals.union(_elements(spark, sf_dir), ["chrom"]), path)
+    return tables.read_regions(spark, path)
+
+
+@query("""WITH c AS (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, [l_quantity::BIGINT, l_linenumber::BIGINT, l_orderkey % 7 + 1, l_partkey % 5 + 1, l_suppkey % 3 + 1] AS lens, ['=', 'X', '=', 'I', 'D'] AS ops FROM lineitem),
+e AS (SELECT r, l_orderkey, l_linenumber, unnest(lens) AS len, unnest(ops) AS op, unnest(range(0, 5)) AS i FROM c),
+w AS (SELECT *, coalesce(sum(CASE WHEN op = 'D' THEN 0 ELSE len END) OVER b, 0) AS x, coalesce(sum(CASE WHEN op = 'I' THEN 0 ELSE len END) OVER b, 0) AS y FROM e
+  WINDOW b AS (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT l_orderkey, l_linenumber, i::BIGINT AS i, op, len::BIGINT AS len, (x + l_orderkey)::BIGINT AS x, (y + 7)::BIGINT AS y, l_linenumber % 2 = 0 AS valid FROM w""")
+def cigar_walk(spark, sf_dir):
+    """Each operation with the places where it begins, and whether the CIGAR takes up both stretches (of even lines alone)."""
+    part = lambda c, op: F.concat(c.cast("long").cast("string"), F.lit(op))
+    a, b, d = F.col("l_orderkey") % 7 + 1, F.col("l_partkey") % 5 + 1, F.col("l_suppkey") % 3 + 1
+    text = F.concat(part(F.col("l_quantity"), "="), part(F.col("l_linenumber"), "X"), part(a, "="), part(b, "I"), part(d, "D"))
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.parse(text).alias("ops"), F.col("l_orderkey").cast("long").alias("x0"))
+    far = F.col("l_linenumber") % 2
+    valid = C.is_valid(F.col("ops"), F.col("x0"), F.col("x0") + C.x_span(F.col("ops")), F.lit(7), 7 + C.y_span(F.col("ops")) + far)
+    steps = rows.select("l_orderkey", "l_linenumber", valid.alias("valid"), F.posexplode(C.walk(F.col("ops"), F.col("x0"), F.lit(7))).alias("i", "o"))
+    return steps.select("l_orderkey", "l_linenumber", F.col("i").cast("long").alias("i"), "o.op", "o.len", "o.x", "o.y", "valid")
