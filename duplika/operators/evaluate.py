@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage, workdir
 from .intervals import overlap_join, overlap_length, union
 
 
@@ -69,10 +70,13 @@ def kimura(transitions: Column, transversions: Column) -> Column:
 
 def set_distance(members: DataFrame, group: str, item: str) -> DataFrame:
     """``i, j, distance`` for i < j: 1 - size(i minus j) / size(i or j); only distances other than 1."""
-    held = members.select(F.col(group).alias("g"), F.col(item).alias("item")).distinct()
-    size = held.groupBy("g").agg(F.count("*").alias("n"))
-    a, b = held.select(F.col("g").alias("i"), "item"), held.select(F.col("g").alias("j"), "item")
-    shared = a.join(b, "item").where("i < j").groupBy("i", "j").agg(F.count("*").alias("both"))
+    # Items are counted by the set of groups that hold them: a pair of groups is met once a set, not once an item.
+    # A null counts in a group's size and is shared with none.
+    of_item = members.select(F.col(group).alias("g"), F.col(item).alias("item")).groupBy("item").agg(F.array_sort(F.collect_set("g")).alias("sets"))
+    held = stage(of_item.groupBy("sets", F.col("item").isNull().alias("absent")).agg(F.count("*").alias("m")), workdir(members.sparkSession), "sets")
+    size = held.select(F.explode("sets").alias("g"), "m").groupBy("g").agg(F.sum("m").alias("n"))
+    first = held.where("not absent").select("sets", "m", F.posexplode("sets").alias("at", "i")).select("i", "m", F.explode(F.slice("sets", F.col("at") + 2, F.size("sets"))).alias("j"))
+    shared = first.groupBy("i", "j").agg(F.sum("m").alias("both"))
     n_i, n_j = size.select(F.col("g").alias("i"), F.col("n").alias("n_i")), size.select(F.col("g").alias("j"), F.col("n").alias("n_j"))
     every = n_i.join(n_j, F.col("i") < F.col("j")).join(shared, ["i", "j"], "left").na.fill(0, ["both"])
     distance = 1 - (F.col("n_i") - F.col("both")) / (F.col("n_i") + F.col("n_j") - F.col("both"))
