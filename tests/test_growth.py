@@ -49,3 +49,23 @@ def test_items_of_many_groups_are_met_once_a_set(spark):
 
 def test_a_cigar_is_parsed_once(spark):
     assert QUERIES["cigar_stats"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2
+
+
+def test_kmers_of_ranges_that_a_task_holds_are_not_sorted(spark):
+    made = QUERIES["kmer_histogram"](spark, DATA)
+    made.count()
+    assert "range#" not in "".join(line for line in plan(made).splitlines() if "Sort" in line)
+
+
+def test_kmer_counts_held_at_once_and_one_range_after_another(spark):
+    rng = random.Random(6)
+    seqs = ["".join(rng.choices("ACGT", weights=(9, 3, 1, 1), k=n)) for n in (0, 5, 40, 3_000, 3_000, 9_000)]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    for k in (3, 9, 12, 14, 15, 20):  # of 15 and more the rows are sorted
+        want = {}
+        for s in seqs:
+            for i in range(len(s) - k + 1):
+                code = int("".join(str("ACGT".index(c)) for c in s[i : i + k]), 4)
+                want[code] = want.get(code, 0) + 1
+        rows = seeds.kmer_counts(df, k, chunk=1_000).collect()
+        assert len(rows) == len(want) and {r.kmer: r.n for r in rows} == want
